@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A word: anything but a space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +82,25 @@ def unit(*cols: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def per_row(frames: Iterable[pd.DataFrame], make) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield make(frame)
+def row_map(df: DataFrame, keep: Sequence[Column], value: Column, make: Callable[[], Callable], fields: str) -> DataFrame:
+    """The columns `keep` untouched, and beside them what a Python function makes of each value.
+
+    make() runs once a task and returns the function, which takes a value and returns a tuple for `fields`
+    (a DDL string), or a plain value where that is a single field. One row out for each row in; batches of
+    Arrow rows stream through, so memory is bounded by a batch.
+    """
+    small_batches(df.sparkSession)
+    given = df.select(*keep, value.alias("_value"))
+    made = StructType.fromDDL(fields)
+    shape = StructType([*given.schema.fields[:-1], *made.fields])
+    kinds = [to_arrow_type(f.dataType) for f in made.fields]
+    names, single = shape.names, len(kinds) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            rows = [function(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [rows] if single else list(zip(*rows, strict=True)) or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, columns, kinds)], names=names)
+
+    return given.mapInArrow(run, shape)

@@ -11,14 +11,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
+from lodestrata.llm.common import row_map
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -149,16 +147,11 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts become one row of zero samples. Ids may be null or repeated; other columns
     are not read. Equal texts give equal files. A text of any length is one file.
     """
-    small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            data = [b"" if x is None else bytes(x) for x in frame["_data"]]
-            yield pd.DataFrame({"_id": frame["_id"], "n_bytes": [len(x) for x in data], "media": [png_encode(padded(x)) for x in data]})
+    def one(data: bytes | None) -> tuple[int, bytes]:
+        return len(data or b""), png_encode(padded(data or b""))
 
-    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_data"))
-    return given.mapInPandas(run, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
+    return row_map(df, [F.col(id_col)], F.col(text_col).cast("binary"), lambda: one, "n_bytes long, media binary")
 
 
 def decode_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -166,20 +159,11 @@ def decode_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A damaged file raises: a column of files that this engine wrote holds none.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for media in frame["media"]:
-                media = bytes(media)
-                picture = png_decode(media)
-                payload = picture.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(picture)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "_id", frame["_id"].to_numpy())
-            out.insert(1, "n_bytes", frame["n_bytes"].to_numpy())
-            yield out
-
-    shape = f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(F.col(id_col).alias("_id"), "n_bytes", "media").mapInPandas(run, shape).withColumnRenamed("_id", id_col)
+
+    def one(media: bytes) -> tuple:
+        picture = png_decode(media)
+        payload = picture.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(picture)
+
+    shape = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return row_map(df, [F.col(id_col), F.col("n_bytes")], F.col("media"), lambda: one, shape)

@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import media, mixing, sharding
+from lodestrata.llm import language, licenses, media, mixing, pieces, quality, sharding
 from lodestrata.llm.common import documents
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.train(language.sampled_rows(docs, ~held_out, "doc_id", "text", "lang"))
+    return language.identify_language(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = pieces.DEFAULT_MODEL) -> DataFrame:
+    model = pieces.load_model(model_path)
+    coded = pieces.encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), model)
+    back = pieces.decode_pieces(coded, model)
+    ids = F.col("piece_ids")
+    return back.select(
+        "doc_id", F.size(ids).cast("long").alias("n_pieces"), pieces.byte_pieces(ids, model).cast("long").alias("n_byte_pieces"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir), share=1.5, weights=(3, 1, 2), most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -25,5 +51,5 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources, op8_external_shuffle, op10_png_media)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op10_png_media)}
 ORACLE_SQL: dict[str, str] = {}
