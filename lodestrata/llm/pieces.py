@@ -25,7 +25,7 @@ from lodestrata.llm.common import small_batches
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts of texts whose pieces a worker keeps.
-KEPT_PARTS = 100_000
+KEPT_PARTS = 500_000
 #: Parts longer than this aren't kept.
 KEPT_CHARS = 64
 #: The score of a character in bytes is this much under the lowest score of a piece.
@@ -129,16 +129,18 @@ class Pieces:
                     if score > best[done]:
                         best[done], back[done] = score, (done - 1, -1)
 
+        plain = covered.issuperset(part)  # then pieces reach every place and bytes aren't needed
         for end, (size, score, piece) in self.automaton.iter(part):
             place = end + 1
-            if done < place - 1:
+            if not plain and done < place - 1:
                 bytes_until(place - 1)
             start = place - size
             score += best[start]
             # links go from longer pieces to shorter ones: the first of equal scores is the longest
             if score > best[place]:
                 best[place], back[place] = score, (start, piece)
-        bytes_until(n)
+        if not plain:
+            bytes_until(n)
         out: list[int] = []
         while n:
             start, piece = back[n]
