@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import language, licenses, media, mixing, pieces, quality, sharding
+from lodestrata.llm import language, licenses, media, mixing, ngram_join, pieces, quality, sharding
 from lodestrata.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), percent=90, size=3)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -51,5 +55,5 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op10_png_media)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op10_png_media)}
 ORACLE_SQL: dict[str, str] = {}
