@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import language, licenses, media, mixing, ngram_join, pieces, quality, sharding, suffixes
+from lodestrata.llm import language, licenses, line_dedup, media, mixing, ngram_join, pieces, quality, sharding, suffixes
 from lodestrata.llm.common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -60,5 +66,5 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op9_suffix_dedup, op10_png_media)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op9_suffix_dedup, op10_png_media)}
 ORACLE_SQL: dict[str, str] = {}
