@@ -45,9 +45,7 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[float], mos
 
 
 def _fold(units: Column, seed: int, level: int) -> Column:
-    """units: array of struct(_h, _p, _u). The sequential pivotal method: struct(c, p, done array of (u, picked))."""
-    kind = F.struct(F.lit(0).alias("picked"))
-
+    """units: array of struct(_o, _h, _p, _u). The sequential pivotal method: struct(c, p, done array of (u, picked))."""
     def meet(acc: Column, x: Column) -> Column:
         both = acc["p"] + x["_p"]
         draw = unit(F.lit(seed), F.lit(level), acc["c"]["_h"], x["_h"])
@@ -63,7 +61,7 @@ def _fold(units: Column, seed: int, level: int) -> Column:
     begin = F.struct(
         F.get(units, F.lit(0)).alias("c"),
         F.get(units, F.lit(0))["_p"].alias("p"),
-        F.slice(F.transform(units, lambda x: F.struct(x.alias("u"), kind["picked"].alias("picked"))), 1, 0).alias("done"),
+        F.slice(F.transform(units, lambda x: F.struct(x.alias("u"), F.lit(0).alias("picked"))), 1, 0).alias("done"),
     )
     return F.aggregate(F.slice(units, F.lit(2), F.size(units)), begin, meet)
 
@@ -92,7 +90,8 @@ def pivotal_copies(df: DataFrame, group: str, size: str, expected: str, key: str
     other = chunks.select(F.col("_g").alias("_g2"), F.col("_class").alias("_class2"), "_n", "_from")
     placed = units.join(other, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_class") == F.col("_class2")))
     spread = F.pmod(F.xxhash64(F.lit(seed), "_k"), F.col("_n"))
-    leaf = F.struct(F.xxhash64(F.lit(seed + 1), "_k").alias("_h"), F.col("_part").alias("_p"), F.struct("_row", "_whole").alias("_u"))
+    # large units meet first, so that what is left over for the last draw is small
+    leaf = F.struct((-F.col("_s")).alias("_o"), F.xxhash64(F.lit(seed + 1), "_k").alias("_h"), F.col("_part").alias("_p"), F.struct("_row", "_whole").alias("_u"))
     rest = placed.select("_g", (F.col("_from") + spread).alias("_chunk"), leaf.alias("_x"))
     out, level = plain, 0
     while True:
@@ -105,7 +104,7 @@ def pivotal_copies(df: DataFrame, group: str, size: str, expected: str, key: str
             last = F.when(unit(F.lit(seed + 3), F.col("_f.c._h")) < F.col("_f.p"), 1).otherwise(0)
             out = out.unionByName(folded.select("_f.c._u._row", (F.col("_f.c._u._whole") + last).cast("long").alias("copies")))
             return out.select("_row.*", "copies")
-        carried = F.struct(F.col("_f.c._h").alias("_h"), F.col("_f.p").alias("_p"), F.col("_f.c._u").alias("_u"))
+        carried = F.struct(F.col("_f.c._o").alias("_o"), F.col("_f.c._h").alias("_h"), F.col("_f.p").alias("_p"), F.col("_f.c._u").alias("_u"))
         rest = folded.select("_g", F.floor(F.col("_chunk") / CHUNK).alias("_chunk"), carried.alias("_x"))
         most = -(-most // CHUNK)
 
@@ -136,3 +135,8 @@ def repeated(df: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFram
     joined = df.join(plan, F.col(id_col).eqNullSafe(F.col("_plan_id")))
     copies = F.array_repeat(F.lit(1), F.col("_plan_copies").cast("int"))
     return joined.withColumn("_plan_one", F.explode(copies)).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:
+    """df's rows as often as mix_sources() says."""
+    return repeated(df, mix_sources(df, id_col, source_col, text_col, **settings), id_col)
