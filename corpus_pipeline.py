@@ -1,12 +1,72 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, mixing, tokens."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import line_dedup, mixing, ngram_join, pieces, quality
+from lodestrata.llm.common import WORD, documents, written
+
+
+def _as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df's rows with the columns and types of docs; n_chars, where there is one, follows the text."""
+    chars = F.length("text")
+    return df.select(*((F.when(F.col("text").isNotNull(), chars).cast(f.dataType) if f.name == "n_chars" else F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema.fields))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; lines that too many texts of a source share go from the others.
+
+    Rows with null ids are judged like others, by their texts. Rows that repeat are judged alike.
+    """
+    return _as_before(quality.kept_documents(docs), docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All but one occurrence of similar lines go. A document that has no word left, but had some, goes too."""
+    found = line_dedup.dedup_lines(docs)
+    return _as_before(found.filter((F.col("_removed") == 0) | F.col("text").rlike(WORD)), docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the least id stays, once. Documents without words, or without an id, stay."""
+    return _as_before(ngram_join.one_of_each(docs), docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: rows leave or come twice."""
+    return _as_before(mixing.mixed(docs), docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns, and piece_ids, n_pieces, and whether the pieces decode to the text."""
+    model = pieces.load_model()
+    coded = pieces.encode_pieces(docs, model)
+    back = pieces.decode_pieces(coded, model, out_col="_decoded")
+    return back.select(*coded.columns, F.size("piece_ids").cast("long").alias("n_pieces"), F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("mix_sources", mixing_stage),
+    ("sentencepiece", pieces_stage),
+]
 
-STAGES: list = []
+#: No SQL has these hashes, draws and best paths; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -192,3 +192,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = sets.select("_id", "n", "key").join(known, F.col("key") == F.col("key2"), "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = SHINGLE) -> DataFrame:
+    """df with one row of each group of linked documents: that of the least id. Rows without words or without an id stay; columns stay.
+
+    Rows that repeat an id are copies: one of them stays.
+    """
+    found = jaccard_components(df, id_col, text_col, percent, size)
+    lost = found.filter(f"n_shingles > 0 and component_id <> `{id_col}`").select(F.col(id_col).alias("_lost")).distinct()
+    left = df.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    again = found.filter(f"n_shingles > 0 and `{id_col}` is not null").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = written(again.select("_again"))
+    if again.isEmpty():
+        return left
+    single = left.join(again, F.col(id_col) == F.col("_again"), "left_anti")
+    return single.unionByName(left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col]))

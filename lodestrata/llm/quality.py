@@ -86,10 +86,21 @@ def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "tex
     return joined.select("_host", "_key", F.expr("_sum div _n").alias("_removed"), "_hashes")
 
 
+_FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def _depleted(removed: Column) -> Column:
+    return removed > F.col("n_words") * MOST_REMOVED
+
+
 def _figures(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keep = [F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), key.alias("_key")]
-    return row_map(df, keep, F.col(text_col), lambda: text_figures, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return row_map(df, keep, F.col(text_col), lambda: text_figures, _FIGURES)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -104,22 +115,34 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
     lines = frequent_lines(df, host_col, text_col).select(F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_removed")
     joined = figures.join(lines, F.col("_host").eqNullSafe(F.col("_host2")) & (F.col("_key") == F.col("_key2")), "left")
     removed = F.coalesce("_removed", F.lit(0)).cast("long")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = removed > F.col("n_words") * MOST_REMOVED
+    failed, depleted = _failed(), _depleted(removed)
     return joined.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         removed.alias("removed_words"), failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"),
     )
 
 
-def without_frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """df with lines above the limits taken out of its texts; columns and rows stay. chars_col, if given, is counted anew."""
-    found = frequent_lines(df, host_col, text_col).select(F.col("_host").alias("_found_host"), F.col("_key").alias("_found_key"), F.col("_hashes").alias("_found_hashes"))
+def _left_lines(text: Column, hashes: Column) -> Column:
+    """text without the lines whose normalised forms have one of the hashes."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(normalised(x)))), "\n")
+
+
+def without_frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """df with lines above the limits taken out of its texts, and a column `_removed_words`; rows and other columns stay."""
+    names = [c for c in df.columns if c != "_removed_words"]
+    found = frequent_lines(df, host_col, text_col).select(F.col("_host").alias("_found_host"), F.col("_key").alias("_found_key"), F.col("_hashes").alias("_found_hashes"), F.col("_removed").alias("_found_words"))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = df.join(found, F.col(host_col).eqNullSafe(F.col("_found_host")) & (key == F.col("_found_key")), "left")
-    left = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("_found_hashes", F.xxhash64(normalised(x))))
-    text = F.when(F.col("_found_key").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn(text_col, text)
-    if chars_col:
-        out = out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+    text = F.when(F.col("_found_key").isNull(), F.col(text_col)).otherwise(_left_lines(F.col(text_col), F.col("_found_hashes")))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), F.coalesce("_found_words", F.lit(0)).cast("long").alias("_removed_words"))
+
+
+def kept_documents(df: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of df that quality_rules() keeps, without the lines above the limits; columns stay.
+
+    The figures that decide are those of the input text.
+    """
+    cleaned = without_frequent_lines(df.withColumn("_input", F.col(text_col)), host_col, text_col)
+    keep = [F.col(f"`{c}`") for c in (*df.columns, "_removed_words")]
+    counted = row_map(cleaned, keep, F.col("_input"), lambda: text_figures, _FIGURES)
+    return counted.filter(~_failed() & ~_depleted(F.col("_removed_words"))).select(*(F.col(f"`{c}`") for c in df.columns))
