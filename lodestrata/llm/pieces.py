@@ -106,10 +106,11 @@ class Pieces:
         #: Characters that are pieces by themselves, so that every place after them can be reached without bytes.
         self.covered = frozenset(p for p, _, _ in usable if len(p) == 1)
         held = {c for p, _, _ in usable for c in p}
+        #: Cuts marked text at places that no piece of this model reaches across; None if there may be none.
         self.split = None
         if not any(MARK in p.lstrip(MARK) for p, _, _ in usable):
-            cut = "\n" if "\n" not in held else ""
-            self.split = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+" + (f"|{cut}" if cut else ""))
+            cut = "" if "\n" in held else "\n"
+            self.split = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}" if cut else ""))
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, part: str) -> tuple[int, ...]:
@@ -117,7 +118,7 @@ class Pieces:
         n = len(part)
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # start, id; -1 stands for bytes
+        back = [-1] * (n + 1)  # the last piece's id; -1 stands for the bytes of a character
         done, byte_score, covered = 0, self.byte_score, self.covered
 
         def bytes_until(place: int) -> None:
@@ -127,29 +128,31 @@ class Pieces:
                 if part[done - 1] not in covered:
                     score = best[done - 1] + byte_score
                     if score > best[done]:
-                        best[done], back[done] = score, (done - 1, -1)
+                        best[done], back[done] = score, -1
 
         plain = covered.issuperset(part)  # then pieces reach every place and bytes aren't needed
         for end, (size, score, piece) in self.automaton.iter(part):
             place = end + 1
             if not plain and done < place - 1:
                 bytes_until(place - 1)
-            start = place - size
-            score += best[start]
+            score += best[place - size]
             # links go from longer pieces to shorter ones: the first of equal scores is the longest
             if score > best[place]:
-                best[place], back[place] = score, (start, piece)
+                best[place] = score
+                back[place] = piece
         if not plain:
             bytes_until(n)
         out: list[int] = []
         while n:
-            start, piece = back[n]
+            piece = back[n]
             if piece < 0:
-                out.extend(self.id_of_byte[b] for b in reversed(part[start:n].encode()))
+                out.extend(self.id_of_byte[b] for b in reversed(part[n - 1].encode()))
+                n -= 1
             else:
                 out.append(piece)
-            n = start
-        return tuple(reversed(out))
+                n -= len(self.text[piece])
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text. A word mark that is itself in the text becomes byte pieces, so that it comes back."""
@@ -229,7 +232,8 @@ def decoder(spark: SparkSession, model: bytes):
     @F.arrow_udf("string")
     def decode_pieces(ids: pa.Array) -> pa.Array:
         pieces = _ready(model)
-        return pa.array([None if x is None else pieces.decode(x) for x in ids.to_pylist()], pa.string())
+        edges, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
+        return pa.array([pieces.decode(flat[lo:hi]) if ok else None for lo, hi, ok in zip(edges, edges[1:], ids.is_valid().to_pylist())], pa.string())
 
     return decode_pieces
 
