@@ -3,7 +3,8 @@
 Two sets with Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, under
 any order that holds for all documents. A pair is a candidate only if it shares a prefix token under each of three
 orders: rare first (by a fixed-size table of counts over the whole corpus), and two pseudo-random ones. Pairs are
-made from the first order's prefixes, the other two intersect them, and exact sets verify what is left.
+made from the first order's prefixes, where the places of the shared token must leave room for enough others; the other
+two orders intersect them, and exact sets verify what is left.
 
 A token that c documents share never makes c * c pairs. First each meets the token's least document; what
 these links connect is one component; only documents of different components meet then. Copies (equal sets)
@@ -12,7 +13,6 @@ are one document throughout.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ASCII_LOWER, WORD, row_map, small_batches, written
+from lodestrata.llm.common import row_map, small_batches, written
 from lodestrata.llm.components import components
 
 SHINGLE = 3
 #: Counters of the corpus-wide table of token counts: the driver and each worker hold one table of this size.
-SLOTS = 1 << 17
-#: Word hashes that a worker keeps.
-KEPT_WORDS = 500_000
+SLOTS = 1 << 19
 
-_WORDS = re.compile(WORD)
+_IS_SPACE = np.zeros(256, np.int8)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = 1
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -42,33 +43,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted arrays of 64-bit hashes of their distinct shingles of lower-cased words."""
+    """Texts to sorted arrays of 64-bit hashes of their distinct shingles of lower-cased words.
+
+    A word's hash is a polynomial over its bytes, taken as a difference of running sums, so whole texts go through numpy.
+    """
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self.kept: dict[str, int] = {}
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _upto(self, n: int) -> None:
+        if len(self.powers) < n:
+            for name, base in (("powers", _BASE), ("inverses", pow(_BASE, -1, 1 << 64))):
+                steps = np.full(max(n, 1 << 16), base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+        n = len(data)
+        self._upto(n)
+        gaps = np.ones(n + 2, np.int8)
+        gaps[1:-1] = _IS_SPACE[data]
+        edges = np.flatnonzero(gaps[1:] != gaps[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
             return np.empty(0, np.uint64)
-        words = _WORDS.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER))
-        if not words:
-            return np.empty(0, np.uint64)
-        kept = self.kept
-        hashes = []
-        for w in words:
-            h = kept.get(w)
-            if h is None:
-                if len(kept) >= KEPT_WORDS:
-                    kept.clear()
-                h = kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
-        n = min(self.size, len(h))
-        rows = len(h) - n + 1
-        out = np.full(rows, n, np.uint64)
-        for k in range(n):
-            out = _mixed(out * _M[k % 3] + h[k : k + rows])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.powers[:n], out=sums[1:])
+        words = _mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        k = min(self.size, len(words))
+        rows = len(words) - k + 1
+        out = np.full(rows, k, np.uint64)
+        for i in range(k):
+            out = _mixed(out * _M[i % 3] + words[i : i + rows])
         return np.unique(out)
 
 
@@ -123,7 +131,7 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, percent: int, size: int
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: the pairs (a, b, with sizes na, nb) that pass the other orders' filters and whose exact sets are similar."""
+    """a, b: the pairs (a, b) that pass the other orders' filters and whose exact sets are similar."""
     for side in ("a", "b"):
         own = reps.select(F.col("_id").alias(side), F.col("p2").alias(f"p2{side}"), F.col("p3").alias(f"p3{side}"))
         pairs = pairs.join(own, side)
@@ -168,23 +176,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = written(reps)
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
-    tokens = reps.select(F.explode("p1").alias("token"), F.struct("_id", "n").alias("x"))
+    tokens = reps.select("_id", "n", F.posexplode("p1").alias("i", "token")).select("token", F.struct("_id", "n", "i").alias("x"))
     shared = tokens.groupBy("token").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = written(shared)
     members = written(tokens.join(shared, "token"))
-    close = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    met = members.filter("x._id <> first._id").select(F.col("first._id").alias("a"), F.col("x._id").alias("b"), F.col("first.n").alias("na"), F.col("x.n").alias("nb"))
-    met = written(met.filter(close).distinct())
+    # sizes must be close, and at the first token that two sets share enough tokens must be left in both
+    close = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)")
+    met = members.filter("x._id <> first._id").select(F.col("first._id").alias("a"), F.col("x._id").alias("b"), F.col("first.n").alias("na"), F.col("x.n").alias("nb"), F.col("first.i").alias("ia"), F.col("x.i").alias("ib"))
+    met = written(met.filter(close).select("a", "b").distinct())
     links = written(_verified(met, reps, texts, percent, size))
     groups = written(components(links))
 
     # documents that share a token but no component yet, where the token has more than its first pair
-    placed = members.filter("c > 2").select("token", "x._id", "x.n").join(groups.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    placed = members.filter("c > 2").select("token", "x._id", "x.n", "x.i").join(groups.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     placed = written(placed.join(mixed, "token", "left_semi"))
-    one, two = (placed.select("token", F.col("_id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    rest = one.join(two, (one.token == two.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b", "na", "nb").distinct()
-    rest = rest.join(met.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+    one, two = (placed.select("token", F.col("_id").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    rest = one.join(two, (one.token == two.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    rest = rest.join(met, ["a", "b"], "left_anti")
     more = written(_verified(rest, reps, texts, percent, size))
     groups = written(components(links.unionByName(more)))
 
