@@ -114,7 +114,7 @@ def general_format(value: Column) -> Column:
     """Six significant digits without trailing zeros, as printf's %g."""
     value = value.cast("double")
     science = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(science, r"e([+-]\d+)$", 1).cast("int")
+    exponent = F.regexp_extract(science, r"e([+-]\d+)$", 1).try_cast("int")
     mantissa = _without_zeros(F.regexp_extract(science, r"^(-?[\d.]+)e", 1))
     fixed = F.get(F.array(*(F.format_string(f"%.{5 - e}f", value) for e in range(-4, 6))), exponent + 4)
     return F.when(value == 0, "0").when(exponent.between(-4, 5), _without_zeros(fixed)).otherwise(F.concat(mantissa, F.lit("e"), F.regexp_extract(science, r"e([+-]\d+)$", 1)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata import schemas
 from lodestrata.functions import text
 from lodestrata.functions.arrow import over_values
+from lodestrata.functions.materialize import materialized
 from lodestrata.operators import taxonomy
 
 ERROR_CHARS = 2000
@@ -143,12 +144,13 @@ def problems(draft: Column, context: Column, n_images: Column) -> Column:
 def drafted(contexts: DataFrame, ladder: list[Drafter]) -> tuple[DataFrame, DataFrame]:
     """Good rows (with draft and attempt) and dead letters (with error): each rung of the ladder gets what the one before left, with its problems to repair.
 
-    The rungs' results are marked in one pass each; rows that pass aren't drafted again.
+    Each rung is written down before its rows are told apart, so no draft is made twice.
     """
     names = [c for c in contexts.columns if c != "repair"]
     left, good = contexts.withColumn("repair", F.lit(None).cast("string")), None
     for attempt, drafter in enumerate(ladder, 1):
-        tried = drafter(left).withColumn("_problems", problems(F.col("draft"), F.col("context"), F.size("images")))
+        made = materialized(drafter(left))
+        tried = materialized(made.withColumn("_problems", problems(F.col("draft"), F.col("context"), F.size("images"))))
         fine = tried.filter(F.size("_problems") == 0).select(*names, "draft", F.lit(attempt).alias("attempt"))
         good = fine if good is None else good.unionByName(fine)
         left = tried.filter(F.size("_problems") > 0).select(*names, F.left(F.array_join("_problems", "; "), F.lit(ERROR_CHARS)).alias("repair"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import html, jsontree, text, urls
+from lodestrata.functions.materialize import materialized
 from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, usage, variants
 from lodestrata.plans import standins
 from lodestrata.sources.pages import table
@@ -41,7 +42,7 @@ _WITHOUT_REPEATS = "array_to_string(list_filter({0}, lambda x, i: i = 1 OR x <>
 
 
 @query(f"""SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
-    {_UNESCAPED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1 FROM pages""")
+    trim({_UNESCAPED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}) AS h1 FROM pages""")
 def page_identity(spark, sf_dir):
     found = distill.harvest(table(spark, sf_dir, "pages"), "page_id", "html")
     return found.select(F.col("id").alias("page_id"), F.col("evidence.title").alias("title"), F.col("evidence.h1").alias("h1"))
@@ -129,7 +130,7 @@ def html_evidence(spark, sf_dir):
 
 @query()
 def extract_products(spark, sf_dir):
-    contexts = distill.distill(distill.harvest(standins.product_pages(spark, sf_dir), "page_id", "html"))
+    contexts = materialized(distill.distill(distill.harvest(standins.product_pages(spark, sf_dir), "page_id", "html")))
     paths = taxonomy.prepared(standins.taxonomy(spark, sf_dir))
     made = draft.extract_products(contexts, paths)
     return made.select("id", "name", "price.price", "price.currency", "description", F.size("image_urls").alias("n_images"), F.col("category.name").alias("category"), "brand")
@@ -268,7 +269,7 @@ _PATHS = f"""paths AS (SELECT path, len(string_split(path, '>')) - 1 AS depth, {
 _ASKED = "asked AS (SELECT DISTINCT p_name || ' ' || p_type AS q FROM part)"
 _LEXICAL = f"""{_PATHS}, {_ASKED}, w AS (SELECT q, {_STEM.format("q")} AS words FROM asked),
     s AS (SELECT q, path, len(list_intersect(w.words, p.words)) + 1.5 * len(list_intersect(list_intersect(w.words, p.words), leaf)) + 0.05 * depth AS score FROM w, paths p WHERE len(list_intersect(w.words, p.words)) > 0),
-    lexical AS (SELECT q, path, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, path DESC) AS rank FROM s QUALIFY rank <= 20)"""
+    lexical AS (SELECT q, path, CAST(round(score, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, path DESC) AS rank FROM s QUALIFY rank <= 20)"""
 
 
 def _asked(spark, sf_dir):
@@ -302,8 +303,8 @@ def vector_topk(spark, sf_dir):
 @query(f"""WITH {_LEXICAL}, semantic AS (SELECT q, path, row_number() OVER (PARTITION BY q ORDER BY md5(q || path)) AS rank FROM asked, paths QUALIFY rank <= 5),
     u AS (SELECT q, path, 0 AS part, rank FROM lexical JOIN paths USING (path) WHERE depth > 0 UNION ALL SELECT q, path, 1, rank FROM semantic UNION ALL
         SELECT q, path, 2, row_number() OVER (PARTITION BY q ORDER BY path) FROM asked, paths WHERE depth = 0),
-    d AS (SELECT q, path, min(part * 1000000 + rank) AS at FROM u GROUP BY q, path)
-    SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY at, path) - 1 AS BIGINT) AS idx FROM d""")
+    d AS (SELECT q, path, min(part * 1000000 + rank) AS place FROM u GROUP BY q, path)
+    SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY place, path) - 1 AS BIGINT) AS idx FROM d""")
 def union_shortlist(spark, sf_dir):
     paths, asked = taxonomy.prepared(standins.taxonomy(spark, sf_dir)), _asked(spark, sf_dir)
     lexical = taxonomy.lexical_topk(asked, paths, 20)
@@ -504,7 +505,7 @@ def missing_truth_anti(spark, sf_dir):
     return evaluate.unexpected(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), docs)
 
 
-@query("""SELECT 'p' || p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'brand' END, CASE WHEN p_partkey % 5 = 1 THEN 'color ' || string_split(p_name, ' ')[1] END, CASE WHEN p_partkey % 4 > 1 THEN 'image p/' || p_partkey || '/view2-jpg' END,
+@query("""SELECT 'p' || p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'brand' END, CASE WHEN p_partkey % 5 = 1 AND string_split(p_name, ' ')[1] = lower(p_type) THEN 'feature word ' || lower(p_type) END, CASE WHEN p_partkey % 5 = 1 THEN 'color ' || string_split(p_name, ' ')[1] END, CASE WHEN p_partkey % 4 > 1 THEN 'image p/' || p_partkey || '/view2-jpg' END,
     CASE WHEN p_partkey % 4 > 2 THEN 'image p/' || p_partkey || '/view3-jpg' END], lambda x: x IS NOT NULL), '; ') AS missing FROM part""")
 def reachability(spark, sf_dir):
     rows = standins.products(spark, sf_dir).withColumn("variants", F.lit("[]")).withColumn("colors", F.transform("colors", lambda c: F.concat(F.lit("c"), c)))
