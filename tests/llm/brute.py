@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 from collections import Counter, defaultdict
 
 import xxhash
@@ -40,7 +41,8 @@ def line_dedup(docs, similarity=0.8, bits=3):
     places, first = defaultdict(list), {}
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
-            norm = re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
+            norm = " ".join(line.lower().translate({9: " ", 11: " ", 12: " ", 13: " "} | dict.fromkeys(map(ord, string.punctuation))).split(" "))
+            norm = " ".join(x for x in norm.split(" ") if x)
             if len(norm.split(" ")) >= 5:
                 places[norm].append((d, i))
     prints = {}
