@@ -111,7 +111,7 @@ def _without_zeros(number: Column) -> Column:
 
 
 def general_format(value: Column) -> Column:
-    """Six significant digits without trailing zeros, as printf's %g."""
+    """Six significant digits without trailing zeros, as printf's %g; a tie at the last digit goes by the shortest decimal form."""
     value = value.cast("double")
     science = F.format_string("%.5e", value)
     exponent = F.regexp_extract(science, r"e([+-]\d+)$", 1).try_cast("int")

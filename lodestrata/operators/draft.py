@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata import schemas
-from lodestrata.functions import text
+from lodestrata.functions import text, urls
 from lodestrata.functions.arrow import over_values
 from lodestrata.functions.materialize import materialized
 from lodestrata.operators import taxonomy
@@ -114,8 +114,8 @@ class RuleDrafter:
     def __call__(self, contexts: DataFrame) -> DataFrame:
         e, f = F.col("evidence"), F.col("_f")
         m = lambda key: F.try_element_at(e["meta"], F.lit(key))
-        wanted = f["image_urls"]
-        ids = F.filter(F.transform("images", lambda u, i: F.when(F.array_contains(wanted, u), i)), lambda i: i.isNotNull())
+        wanted = F.transform(f["image_urls"], urls.asset_key)
+        ids = F.filter(F.transform("images", lambda u, i: F.when(F.array_contains(wanted, urls.asset_key(u)), i)), lambda i: i.isNotNull())
         first = F.when(F.size("images") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
         price = F.when(F.coalesce(F.contains("repair", F.lit("price")), F.lit(False)), 0.0).otherwise(f["price"])
         names = filled(f["name"], m("og:title"), e["h1"], e["title"])

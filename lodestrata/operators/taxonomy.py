@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestrata.functions import text
 
@@ -77,7 +78,7 @@ def vector_topk(queries: DataFrame, paths: DataFrame, k: int = VECTOR_K) -> Data
     names = small["path"].tolist()
     matrix = np.stack([np.asarray(x, np.float64) for x in small["embedding"]])
     held = queries.sparkSession.sparkContext.broadcast((names, matrix, np.sqrt((matrix**2).sum(axis=1))))
-    name_kind = pa.array(names[:1]).type
+    name_kind = to_arrow_type(paths.schema["path"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, norms = held.value
