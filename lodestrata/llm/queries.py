@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import language, licenses, line_dedup, media, mixing, ngram_join, pieces, quality, sharding, suffixes
 from lodestrata.llm.common import documents
+from lodestrata.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op9_suffix_dedup, op10_png_media)}
-ORACLE_SQL: dict[str, str] = {}
+
