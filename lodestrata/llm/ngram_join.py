@@ -28,6 +28,9 @@ SHINGLE = 3
 #: Counters of the corpus-wide table of token counts: the driver and each worker hold one table of this size.
 SLOTS = 1 << 19
 
+#: Ids of candidates up to this many are sent to all executors to pick out their texts, so that other texts aren't shuffled; more are joined.
+BROADCAST_IDS = 200_000
+
 _IS_SPACE = np.zeros(256, np.int8)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = 1
 _BASE = 0x9E3779B97F4A7C15
@@ -137,8 +140,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
         pairs = pairs.join(own, side)
     pairs = pairs.filter(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
     pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    few = written(texts.join(wanted, "_id", "left_semi").dropDuplicates(["_id"]))
+    wanted = written(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    few = written(texts.join(chosen, "_id", "left_semi").dropDuplicates(["_id"]))
     for side in ("a", "b"):
         pairs = pairs.join(few.select(F.col("_id").alias(side), F.col("_text").alias(f"text_{side}")), side)
 
