@@ -1,16 +1,19 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate documents, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents. As a stage's docs are stored, it begins by removing the tables that the
+stages before it wrote on their way.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import line_dedup, mixing, ngram_join, pieces, quality
-from lodestrata.llm.common import WORD, documents, written
+from lodestrata.llm.common import WORD, Scratch, documents, written
 
 
 def _as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -19,6 +22,23 @@ def _as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*((F.when(F.col("text").isNotNull(), chars).cast(f.dataType) if f.name == "n_chars" else F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema.fields))
 
 
+#: Tables that the stage before wrote on its way to its result.
+_SCRATCH = Scratch()
+
+
+def _stage(function):
+    """A stage that first removes the tables the one before wrote on its way, as that one's result is stored by now."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _SCRATCH.clear(spark)
+        with _SCRATCH:
+            return function(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; lines that too many texts of a source share go from the others.
 
@@ -27,22 +47,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _as_before(quality.kept_documents(docs), docs)
 
 
+@_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All but one occurrence of similar lines go. A document that has no word left, but had some, goes too."""
     found = line_dedup.dedup_lines(docs)
     return _as_before(found.filter((F.col("_removed") == 0) | F.col("text").rlike(WORD)), docs)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents the one with the least id stays, once. Documents without words, or without an id, stay."""
     return _as_before(ngram_join.one_of_each(docs), docs)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: rows leave or come twice."""
     return _as_before(mixing.mixed(docs), docs)
 
 
+@_stage
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns, and piece_ids, n_pieces, and whether the pieces decode to the text."""
     model = pieces.load_model()

@@ -42,17 +42,47 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of written() that this driver hasn't dropped.
+_WRITTEN: set[str] = set()
+
+
+def _names(df: DataFrame) -> set[str]:
+    return {name for f in df.inputFiles() if (name := f.rsplit("/", 2)[-2]).startswith("lodestrata-")}
+
+
+def _delete(spark: SparkSession, names: set[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for found in [p for p in _WRITTEN if p.rsplit("/", 1)[1] in names]:
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.discard(found)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lodestrata-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+    _delete(df.sparkSession, _names(df))
+
+
+class Scratch:
+    """The tables that written() makes while a with block runs; clear() removes them once what they led to is stored elsewhere."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        self._before = set(_WRITTEN)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths |= _WRITTEN - self._before
+
+    def clear(self, spark: SparkSession) -> None:
+        _delete(spark, {p.rsplit("/", 1)[1] for p in self.paths})
+        self.paths.clear()
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
