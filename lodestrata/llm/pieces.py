@@ -25,7 +25,7 @@ from lodestrata.llm.common import small_batches
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts of texts whose pieces a worker keeps.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 300_000
 #: Parts longer than this aren't kept.
 KEPT_CHARS = 64
 #: The score of a character in bytes is this much under the lowest score of a piece.
