@@ -1,6 +1,61 @@
 """What a review found the operators to leave out."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from lodestrata.llm import line_dedup
+from tests.llm import brute
+
+
+def _edited_lines(rng):
+    """Lines of 5 to 40 words, each with a copy of one word replaced, and one with edits up to a similarity of about 0.8."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    vocabulary = [word() for _ in range(400)]
+    lines = []
+    for i in range(90):
+        words = [rng.choice(vocabulary) for _ in range((5, 6, 8, 10, 13, 20, 27, 30, 40)[i % 9])]
+        one, many = list(words), list(words)
+        one[rng.randrange(len(one))] = word()
+        for k in rng.sample(range(len(many)), max(1, len(many) // 5)):
+            many[k] = rng.choice((many[k][:-1] + "xy", word()))
+        lines += [" ".join(words), " ".join(one), " ".join(many)]
+    return lines
+
+
+def _links(spark, lines):
+    """The pairs of places that are in one group."""
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    occurrences, firsts = line_dedup.line_groups(df, "doc_id", "text")
+    return {r.id: r.first.id for r in occurrences.join(firsts, "h").collect()}
+
+
+def test_line_dedup_finds_lines_at_the_edit_similarity(spark):
+    lines = _edited_lines(random.Random(8))
+    group = _links(spark, lines)
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(lines[a]) - len(lines[b])) <= 0.2 * max(len(lines[a]), len(lines[b]))]
+    pairs = [(a, b) for a, b in pairs if len(set(lines[a]) ^ set(lines[b])) < 20 and a // 3 == b // 3 or group[a] == group[b]]
+    similar = [(a, b) for a, b in pairs if brute.edits(lines[a], lines[b]) <= int(0.2 * max(len(lines[a]), len(lines[b])))]
+    found = sum(group[a] == group[b] for a, b in similar)
+    print(f"recall {found} of {len(similar)}")
+    assert len(similar) > 120 and found >= 0.97 * len(similar)
+
+
+def test_line_dedup_holds_against_edit_similarity_alone(spark, tiny):
+    """Every pair of the table's lines is compared, whatever words they share."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    occurrences, firsts = line_dedup.line_groups(docs, "doc_id", "text")
+    group = {r.h: r.first for r in firsts.collect()}
+    line = F.explode(F.split(line_dedup.normalised(F.col("text")), "\n"))
+    words = docs.select(line.alias("line")).select(line_dedup.words_of(F.col("line")).alias("w")).filter(F.size("w") >= 5).distinct()
+    norms = words.select(F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("t")).cache()
+    a, b = (norms.select(F.col("h").alias(f"h{s}"), F.col("t").alias(f"t{s}")) for s in "ab")
+    most = "cast(greatest(length(ta), length(tb)) * 200 div 1000 as int)"
+    pairs = a.join(b, F.expr(f"ha < hb and abs(length(ta) - length(tb)) <= {most}")).repartition(8)
+    similar = pairs.filter(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("ha", "hb").collect()
+    found = sum(group[r.ha] == group[r.hb] for r in similar)
+    print(f"recall {found} of {len(similar)} pairs of {len(group)} lines")
+    assert len(similar) > 30 and found >= 0.99 * len(similar)
 
 
 def test_line_dedup_sums_bits_of_huge_lines_and_repeated_rows(spark):
