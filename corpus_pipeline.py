@@ -56,8 +56,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the least id stays, once. Documents without words, or without an id, stay."""
-    return _as_before(ngram_join.one_of_each(docs), docs)
+    """Of each group of near-duplicate documents (five-word shingles, Jaccard 0.8) the one with the least id stays, once. Documents
+    without words, or without an id, stay.
+    """
+    return _as_before(ngram_join.one_of_each(docs, percent=80, size=5), docs)
 
 
 @_stage

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestrata.llm import line_dedup
 from tests.llm import brute
 
@@ -73,3 +74,19 @@ def test_line_dedup_sums_bits_of_huge_lines_and_repeated_rows(spark):
     words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in huge.split(" ")]
     want = sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
     assert [r.sim % (1 << 64) for r in found] == [want]
+
+
+def test_near_duplicate_stage_takes_five_words_at_80_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        for k in range(20, 300, (50, 43, 60, 30)[i % 4]):
+            words[k] = f"new{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = {d: brute.shingles(t, size=5) for d, t in rows}
+    near = {a + 1 for a in range(0, 24, 2) if 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1])}
+    assert 3 <= len(near) < 12
+    left = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in left.collect()} == set(sets) - near
