@@ -16,8 +16,10 @@ from lodestrata.llm.common import SPACE, WORD, row_map, word_count, written
 
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
-#: A line is boilerplate if it stands in more than this many different texts of a host, and in more than this share of them.
+#: A line is boilerplate if it stands in more than this many different texts of a host, and in more than this share of them,
 MOST_TEXTS, MOST_SHARE = 20, 0.05
+#: or in more than this many however many the host has: a host's growth doesn't make its footer another line.
+ALWAYS_TEXTS = 50
 #: A document is depleted if more than this share of its words is in such lines.
 MOST_REMOVED = 0.5
 
@@ -59,7 +61,7 @@ def _keyed(df: DataFrame, host_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(host_col).alias("_host"), F.xxhash64(text).alias("_key"), text.alias("_text"))
 
 
-def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
+def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE, always_texts: int = ALWAYS_TEXTS) -> DataFrame:
     """_host, _key, _removed long, _hashes array: for each text with lines above the limits, the words in them.
 
     A document counts by its text, so that exact copies of one document count once: a line isn't boilerplate
@@ -74,7 +76,7 @@ def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "tex
     over = (
         counts.filter(F.col("_texts") > most_texts)
         .join(hosts, F.col("_host").eqNullSafe(F.col("_host2")))
-        .filter(F.col("_texts") > F.col("_all") * most_share)
+        .filter((F.col("_texts") > F.col("_all") * most_share) | (F.col("_texts") > always_texts))
         .select(F.col("_host").alias("_host2"), F.col("_hash").alias("_hash2"))
     )
     # at most lines / most_texts rows; the join deals by line, and Spark splits a line that is very common

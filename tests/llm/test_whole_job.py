@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import line_dedup
+from lodestrata.llm import line_dedup, quality
 from tests.llm import brute
 
 
@@ -90,3 +90,12 @@ def test_near_duplicate_stage_takes_five_words_at_80_percent(spark):
     assert 3 <= len(near) < 12
     left = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in left.collect()} == set(sets) - near
+
+
+def test_quality_limits_lines_alike_on_a_large_host(spark):
+    """A footer in 1 % of a host's texts is as much boilerplate as in 21 of a small host's."""
+    own, footer = F.concat(F.lit("own words number "), F.col("id")), "all rights reserved by the owners of this site"
+    for host, every in ((12_000, 100), (200, 8)):
+        docs = spark.range(host).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.when(F.col("id") % every == 0, F.concat(F.lit(footer + "\n"), own)).otherwise(own).alias("text"))
+        rows = quality.quality_rules(docs).filter("removed_words > 0").collect()
+        assert {r.doc_id for r in rows} == set(range(0, host, every)) and all(r.removed_words == 9 and r.depleted for r in rows)
