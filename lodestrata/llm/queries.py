@@ -52,9 +52,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # whole documents are shuffled and written; sizes and sums are of the rows that stand in the shards
+    placed = sharding.sharded(documents(spark, sf_dir), "doc_id", n_shards=40)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = documents(spark, sf_dir).select("doc_id", (F.length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    placed = sharding.external_shuffle(docs, "doc_id", n_shards=40)
+    placed = placed.select("doc_id", (F.length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "shard", "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

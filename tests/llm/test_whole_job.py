@@ -1,11 +1,12 @@
 """What a review found the operators to leave out."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import line_dedup, quality
+from lodestrata.llm import line_dedup, quality, queries, sharding
 from tests.llm import brute
 
 
@@ -99,3 +100,30 @@ def test_quality_limits_lines_alike_on_a_large_host(spark):
         docs = spark.range(host).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.when(F.col("id") % every == 0, F.concat(F.lit(footer + "\n"), own)).otherwise(own).alias("text"))
         rows = quality.quality_rules(docs).filter("removed_words > 0").collect()
         assert {r.doc_id for r in rows} == set(range(0, host, every)) and all(r.removed_words == 9 and r.depleted for r in rows)
+
+
+def test_shuffle_bounds_buckets_by_bytes_and_spreads_repeats(spark):
+    """Long texts, rows with one id, rows with none and rows that repeat altogether: no bucket grows with them."""
+    rows = [(i, "x" * 40_000) for i in range(60)] + [(None, f"t{i}") for i in range(2000)] + [(7, f"u{i}") for i in range(2000)] + [(8, "same")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found, total = sharding.buckets(df, "doc_id", 7, bucket_bytes=400_000)
+    sizes = found.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(F.length("_r.text")).alias("b")).collect()
+    assert total == len(rows) and max(r.n for r in sizes) <= 1024 and max(r.b for r in sizes) <= 1_600_000
+    placed = sharding.external_shuffle(df, "doc_id", 9, bucket_bytes=400_000)
+    out = placed.collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(a), b) for a, b in rows)
+    at = {}
+    for r in out:
+        at.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in at.values()) and max(map(len, at.values())) - min(map(len, at.values())) <= 1
+
+
+def test_shuffle_query_writes_whole_documents(spark, tiny):
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/lodestrata-shards-*"))
+    found = queries.op8_external_shuffle(spark, tiny)
+    (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/lodestrata-shards-*")) - before
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    back = spark.read.parquet(path)
+    assert back.columns == [*docs.columns, "slot", "shard"]
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in found.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in back.collect())
