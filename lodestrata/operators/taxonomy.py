@@ -1,12 +1,14 @@
 """Taxonomy retrieval: lexical and vector top-k, their union, and the pick.
 
 Lexical search is an inverted index: query words and path words meet in an equi-join, so pairs that share no word are
-never made. Vector search compares every query with every path in blocks: the smaller side is a dimension table.
+never made. Vector search compares every query with every path in blocks of queries, which go to the partitions of the paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestrata.functions import text
+from lodestrata.functions.materialize import materialized
 
 # Fixed values.
 LEAF_WEIGHT, DEPTH_WEIGHT = 1.5, 0.05
 LEXICAL_K, RETRY_K, VECTOR_K = 100, 300, 50
 EPSILON = 1e-9
 QUERY_DESCRIPTION = 300
-#: Paths that vector_topk() holds in a worker; a larger dimension table is refused, see there.
-MOST_PATHS = 200_000
+#: Queries that vector_topk() sends to the paths' partitions at once, and paths that are one matrix.
+QUERY_BLOCK, PATH_BLOCK = 1024, 4096
 
 
 def prepared(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -49,7 +52,7 @@ def lexical_topk(queries: DataFrame, paths: DataFrame, k: int = LEXICAL_K) -> Da
 
 def with_top_levels(found: DataFrame, queries: DataFrame, paths: DataFrame) -> DataFrame:
     """found, and after it the top-level paths that it lacks, in their order; score null."""
-    tops = F.broadcast(paths.filter("is_top").select("path").limit(10_000))
+    tops = paths.filter("is_top").select("path")
     lacking = queries.select("q").join(tops, how="inner", on=F.lit(True)).join(found.select("q", "path"), ["q", "path"], "left_anti")
     last = found.groupBy("q").agg(F.max("rank").alias("last"))
     order = Window.partitionBy("q").orderBy("path")
@@ -66,37 +69,49 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, paths: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """q, path, score, rank: the k paths of each query with the greatest cosine, ties by path.
 
-    queries: q, embedding; paths: path, embedding, a dimension of at most MOST_PATHS rows, which each task holds as one
-    matrix: the size is checked, and a larger table raises. Batches of queries are one matrix product each.
+    queries: q, embedding; paths: path, embedding. Paths stay where they are: each block of queries goes to all their partitions,
+    which return their own k best for each query; these are written down and ranked together.
     """
-    small = paths.select("path", "embedding").limit(MOST_PATHS + 1).toPandas().sort_values("path", kind="stable")
-    if len(small) > MOST_PATHS:
-        raise ValueError(f"more than {MOST_PATHS} paths: split the dimension and merge the parts' ranks")
     shape = f"q {queries.schema['q'].dataType.simpleString()}, path {paths.schema['path'].dataType.simpleString()}, score double, rank int"
-    if small.empty:
-        return queries.sparkSession.createDataFrame([], shape)
-    names = small["path"].tolist()
-    matrix = np.stack([np.asarray(x, np.float64) for x in small["embedding"]])
-    held = queries.sparkSession.sparkContext.broadcast((names, matrix, np.sqrt((matrix**2).sum(axis=1))))
-    name_kind = to_arrow_type(paths.schema["path"].dataType)
+    spark, known = queries.sparkSession, paths.filter("embedding is not null").select("path", "embedding")
+    rows, parts = queries.filter("embedding is not null").select("q", "embedding").toLocalIterator(), []
+    while block := list(islice(rows, QUERY_BLOCK)):
+        asked = spark.createDataFrame([(i, r.q) for i, r in enumerate(block)], f"_i int, q {queries.schema['q'].dataType.simpleString()}")
+        best = materialized(_best_of_partitions(known, [r.embedding for r in block], k))
+        order = Window.partitionBy("_i").orderBy(F.col("rounded").desc(), "path")
+        ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        parts.append(ranked.join(F.broadcast(asked), "_i").select("q", "path", "score", "rank"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], shape)
+
+
+def _best_of_partitions(paths: DataFrame, vectors: list, k: int) -> DataFrame:
+    """_i (place in vectors), path, score, rounded: the k best paths of each partition for each vector."""
+    asked = np.stack([np.asarray(x, np.float64) for x in vectors])
+    held = paths.sparkSession.sparkContext.broadcast((asked, np.sqrt((asked**2).sum(axis=1))))
+    kind = paths.schema["path"].dataType.simpleString()
+    path_kind = to_arrow_type(paths.schema["path"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, norms = held.value
+        asked, norms = held.value
+        best = [[] for _ in asked]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                vectors = np.stack([np.asarray(x, np.float64) for x in part.column("embedding").to_pylist()])
+            for lo in range(0, batch.num_rows, PATH_BLOCK):
+                part = batch.slice(lo, PATH_BLOCK)
+                names = part.column("path").to_pylist()
+                matrix = np.stack([np.asarray(x, np.float64) for x in part.column("embedding").to_pylist()])
                 # a sum for each pair in a fixed order, so that ties and rounding don't depend on the batch
-                scores = np.einsum("qd,pd->qp", vectors, matrix) / (np.sqrt((vectors**2).sum(axis=1))[:, None] * norms + EPSILON)
-                best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("q").take(pa.array(np.repeat(np.arange(len(vectors)), n))), pa.array([names[i] for i in best.ravel()], name_kind),
-                     pa.array(np.take_along_axis(scores, best, axis=1).ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(vectors)))],
-                    names=["q", "path", "score", "rank"],
-                )
+                scores = np.einsum("qd,pd->qp", asked, matrix) / (norms[:, None] * np.sqrt((matrix**2).sum(axis=1)) + EPSILON)
+                rounded = np.round(scores, 12)
+                for i, row in enumerate(rounded):
+                    # all that tie with the k-th are looked at, so that the least paths of them stay
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else range(len(row))
+                    best[i] = sorted(best[i] + [(-row[j], names[j], scores[i, j]) for j in near], key=lambda x: x[:2])[:k]
+        for i, found in enumerate(best):
+            if found:
+                columns = [pa.array([i] * len(found), pa.int32()), pa.array([x[1] for x in found], path_kind), pa.array([x[2] for x in found]), pa.array([-x[0] for x in found])]
+                yield pa.RecordBatch.from_arrays(columns, names=["_i", "path", "score", "rounded"])
 
-    return queries.filter("embedding is not null").select("q", "embedding").mapInArrow(run, shape)
+    return paths.mapInArrow(run, f"_i int, path {kind}, score double, rounded double")
 
 
 def union_shortlist(lexical: DataFrame, vector: DataFrame, queries: DataFrame, paths: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def union_shortlist(lexical: DataFrame, vector: DataFrame, queries: DataFrame, p
     first = lexical.join(tops, "path").filter("not is_top").select("q", "path", F.lit(0).alias("part"), F.col("rank").cast("long").alias("rank"))
     second = vector.select("q", "path", F.lit(1).alias("part"), F.col("rank").cast("long").alias("rank"))
     ranked_tops = tops.filter("is_top").select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("rank"))
-    third = queries.select("q").join(F.broadcast(ranked_tops.limit(10_000)), F.lit(True)).select("q", "path", F.lit(2).alias("part"), "rank")
+    third = queries.select("q").join(ranked_tops, F.lit(True)).select("q", "path", F.lit(2).alias("part"), "rank")
     merged = first.unionByName(second).unionByName(third).groupBy("q", "path").agg(F.min(F.struct("part", "rank")).alias("at"))
     order = Window.partitionBy("q").orderBy("at", "path")
     return merged.select("q", "path", (F.row_number().over(order) - 1).alias("idx"))

@@ -308,7 +308,7 @@ def vector_topk(spark, sf_dir):
 def union_shortlist(spark, sf_dir):
     paths, asked = taxonomy.prepared(standins.taxonomy(spark, sf_dir)), _asked(spark, sf_dir)
     lexical = taxonomy.lexical_topk(asked, paths, 20)
-    every = asked.join(F.broadcast(paths.select("path").limit(20_000)), F.lit(True))  # a dimension of bounded size stands in for a model's ranking
+    every = asked.join(paths.select("path"), F.lit(True))
     drawn = every.withColumn("rank", F.row_number().over(standins.Window.partitionBy("q").orderBy(F.md5(F.concat("q", "path").cast("binary"))))).filter("rank <= 5")
     return taxonomy.union_shortlist(lexical, drawn.select("q", "path", "rank"), asked, paths).select("q", "path", F.col("idx").cast("long").alias("idx"))
 
