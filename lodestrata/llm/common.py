@@ -92,6 +92,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df has no column of."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long, 0 for null; stays in the JVM and makes no array of words."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")

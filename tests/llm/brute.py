@@ -5,7 +5,8 @@ import re
 import string
 from collections import Counter, defaultdict
 
-import xxhash
+import duckdb
+import pyarrow as pa
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -36,27 +37,23 @@ def edits(a, b):
     return before[-1]
 
 
-def line_dedup(docs, similarity=0.8, bits=3):
-    """(id, text) rows to {id: (lines, removed, kept text)}."""
-    places, first = defaultdict(list), {}
+def line_dedup(docs, similarity=0.8):
+    """(id, text) rows to {id: (lines, removed, kept text)}, by edit similarity alone."""
+    places = defaultdict(list)
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
             norm = " ".join(line.lower().translate({9: " ", 11: " ", 12: " ", 13: " "} | dict.fromkeys(map(ord, string.punctuation))).split(" "))
             norm = " ".join(x for x in norm.split(" ") if x)
-            if len(norm.split(" ")) >= 5:
+            if norm:
                 places[norm].append((d, i))
-    prints = {}
-    for norm in places:
-        words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in norm.split(" ")]
-        prints[norm] = sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
     norms = sorted(places)
     u = Union(norms)
-    for i, a in enumerate(norms):
-        for b in norms[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= bits:
-                longer = max(len(a), len(b))
-                if abs(len(a) - len(b)) <= 0.2 * longer and edits(a, b) <= int(longer * round((1 - similarity) * 1000) / 1000):
-                    u.join(a, b)
+    long = [n for n in norms if len(n.split(" ")) >= 5]
+    con = duckdb.connect()
+    con.register("lines", pa.table({"i": pa.array(range(len(long)), pa.int64()), "t": pa.array(long, pa.string())}))
+    most = f"greatest(length(x.t), length(y.t)) * {round((1 - similarity) * 1000)} // 1000"
+    for a, b in con.sql(f"SELECT x.i, y.i FROM lines x JOIN lines y ON x.i < y.i AND abs(length(x.t) - length(y.t)) <= {most} WHERE levenshtein(x.t, y.t) <= {most}").fetchall():
+        u.join(long[a], long[b])
     groups = defaultdict(list)
     for n in norms:
         groups[u.find(n)] += places[n]
@@ -98,9 +95,9 @@ def shingles(t, size=3):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def jaccard(docs, percent=90):
+def jaccard(docs, percent=90, size=3):
     """(id, text) rows to {id: (size, component)}."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, size) for d, t in docs}
     u = Union(sets)
     ids = sorted((d for d in sets if sets[d]), key=lambda d: len(sets[d]))
     for i, a in enumerate(ids):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import components, language, licenses, line_dedup, media, mixing, ngram_join, pieces, quality, queries, sharding, suffixes
+from lodestrata.llm import components, language, licenses, media, mixing, ngram_join, pieces, quality, queries, sharding, suffixes
 from tests.llm import brute
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, h long, size long, _id string"
@@ -68,19 +68,6 @@ def test_line_dedup(spark, data):
     assert any(m for _, m, _ in want.values())
 
 
-def test_simhash_keys_find_all_close_fingerprints(spark):
-    rng = random.Random(3)
-    pairs = []
-    for _ in range(60):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randint(0, 3)):
-            b ^= 1 << bit
-        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    assert df.filter(F.arrays_overlap(line_dedup.block_keys(F.col("a")), line_dedup.block_keys(F.col("b")))).count() == len(pairs)
-
-
 def test_quality(spark, data):
     want = brute.quality(docs_of(spark, data, "source", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "depleted")

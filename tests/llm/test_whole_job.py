@@ -29,7 +29,7 @@ def _links(spark, lines):
     """The pairs of places that are in one group."""
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     occurrences, firsts = line_dedup.line_groups(df, "doc_id", "text")
-    return {r.id: r.first.id for r in occurrences.join(firsts, "h").collect()}
+    return {r.id: r.first.id if r.first else r.id for r in occurrences.join(firsts, "h", "left").collect()}
 
 
 def test_line_dedup_finds_lines_at_the_edit_similarity(spark):
@@ -55,7 +55,7 @@ def test_line_dedup_holds_against_edit_similarity_alone(spark, tiny):
     most = "cast(greatest(length(ta), length(tb)) * 200 div 1000 as int)"
     pairs = a.join(b, F.expr(f"ha < hb and abs(length(ta) - length(tb)) <= {most}")).repartition(8)
     similar = pairs.filter(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("ha", "hb").collect()
-    found = sum(group[r.ha] == group[r.hb] for r in similar)
+    found = sum(r.ha in group and group[r.ha] == group.get(r.hb) for r in similar)
     print(f"recall {found} of {len(similar)} pairs of {len(group)} lines")
     assert len(similar) > 30 and found >= 0.99 * len(similar)
 
@@ -69,12 +69,29 @@ def test_line_dedup_sums_bits_of_huge_lines_and_repeated_rows(spark):
     got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: (huge, 0), 2: (line, 1), 3: ("", 1), 4: (alike, 0), 5: ("", 1)}
     # the exact fingerprint
-    found = line_dedup._distinct(line_dedup._occurrences(df.filter("doc_id = 1"), "doc_id", "text")).collect()
+    occurrences = line_dedup._occurrences(df.filter("doc_id in (1, 3)"), "doc_id", "text")
+    found = line_dedup._distinct(occurrences, line_dedup._long(occurrences)).collect()
     import xxhash
 
-    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in huge.split(" ")]
-    want = sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
-    assert [r.sim % (1 << 64) for r in found] == [want]
+    def want(text):
+        words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in text.split(" ")]
+        return sum(1 << b for b in range(60) if 2 * sum(w >> b & 1 for w in words) > len(words))
+
+    assert {r.first.id: r.sim for r in found} == {1: want(huge), 3: want(line)}
+
+
+def test_line_dedup_takes_any_columns_ids_and_short_lines(spark):
+    """Names that clash, one id for different texts, equal short lines, lines without words."""
+    rows = [(1, "a b\n\n--\nx", 7, "g"), (1, "a b\ny z", 8, "h"), (2, "A, b!\n\n--", 9, None), (None, "a b", 1, "n"), (3, None, 2, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long, row string")
+    df = df.withColumns({"lines": F.lit(1), "h": F.lit(2), "first": F.lit(3), "id": F.lit("i"), "doc": F.lit("d")})
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "_lines", "_removed"]
+    found = {(r.doc_id, r.gone): (r.text, r._lines, r._removed) for r in got.collect()}
+    assert found.pop((None, 1)) == ("a b", 1, 0) and found.pop((3, 2)) == (None, 0, 0) and found.pop((2, 9)) == ("\n--", 3, 1)
+    assert sorted(found.values()) in ([("\n--\nx", 4, 1), ("a b\ny z", 2, 0)], [("a b\n\n--\nx", 4, 0), ("y z", 2, 1)])
+    kept = df.withColumns({"_lines": F.lit(5), "_removed": F.lit(6)}).drop("gone", "row")
+    assert {(r._lines, r._removed) for r in corpus_pipeline.line_stage(spark, kept, "").collect()} == {(5, 6)}
 
 
 def test_near_duplicate_stage_takes_five_words_at_80_percent(spark):
