@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import line_dedup, mixing, ngram_join, pieces, quality
-from lodestrata.llm.common import WORD, Scratch, documents, written
+from lodestrata.llm.common import WORD, Scratch, documents, free_name, written
 
 
 def _as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All but one occurrence of similar lines go. A document that has no word left, but had some, goes too."""
-    found = line_dedup.dedup_lines(docs)
-    return _as_before(found.filter((F.col("_removed") == 0) | F.col("text").rlike(WORD)), docs)
+    lines, removed = free_name(docs, "_lines"), free_name(docs, "_removed")
+    found = line_dedup.dedup_lines(docs, lines_col=lines, removed_col=removed)
+    return _as_before(found.filter((F.col(removed) == 0) | F.col("text").rlike(WORD)), docs)
 
 
 @_stage
