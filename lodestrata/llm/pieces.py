@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,21 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return pieces
 
 
+class _Kept(dict):
+    """The pieces of parts; those that aren't kept are solved when asked for, and of them short ones are kept."""
+
+    def __init__(self, solve: Callable[[str], tuple[int, ...]]):
+        self.solve = solve
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.solve(part)
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= KEPT_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Pieces:
     """Encodes and decodes texts. Needs a model with byte pieces, so that every text comes back unchanged."""
 
@@ -111,7 +128,10 @@ class Pieces:
         if not any(MARK in p.lstrip(MARK) for p, _, _ in usable):
             cut = "" if "\n" in held else "\n"
             self.split = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}" if cut else ""))
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = _Kept(self.viterbi)
+        #: What an id stands for in a text; a byte above 127 is no character by itself.
+        self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.text)]
+        self.high = np.array([i in self.byte_of and self.byte_of[i] > 127 for i in range(len(self.text))])
 
     def viterbi(self, part: str) -> tuple[int, ...]:
         """The best path over a stretch of text."""
@@ -130,17 +150,21 @@ class Pieces:
                     if score > best[done]:
                         best[done], back[done] = score, -1
 
-        plain = covered.issuperset(part)  # then pieces reach every place and bytes aren't needed
-        for end, (size, score, piece) in self.automaton.iter(part):
-            place = end + 1
-            if not plain and done < place - 1:
-                bytes_until(place - 1)
-            score += best[place - size]
-            # links go from longer pieces to shorter ones: the first of equal scores is the longest
-            if score > best[place]:
-                best[place] = score
-                back[place] = piece
-        if not plain:
+        # links go from longer pieces to shorter ones: the first of equal scores is the longest
+        if covered.issuperset(part):  # pieces reach every place and bytes aren't needed
+            for end, (size, score, piece) in self.automaton.iter(part):
+                score += best[end + 1 - size]
+                if score > best[end + 1]:
+                    best[end + 1] = score
+                    back[end + 1] = piece
+        else:
+            for end, (size, score, piece) in self.automaton.iter(part):
+                if done < end:
+                    bytes_until(end)
+                score += best[end + 1 - size]
+                if score > best[end + 1]:
+                    best[end + 1] = score
+                    back[end + 1] = piece
             bytes_until(n)
         out: list[int] = []
         while n:
@@ -164,22 +188,15 @@ class Pieces:
             if self.split is None:
                 out.extend(self.viterbi(marked))
                 continue
-            kept = self.kept
-            for part in self.split.findall(marked):
-                ids = kept.get(part)
-                if ids is None:
-                    ids = self.viterbi(part)
-                    if len(part) <= KEPT_CHARS:
-                        if len(kept) >= KEPT_PARTS:
-                            kept.clear()
-                        kept[part] = ids
-                out.extend(ids)
+            out.extend(chain.from_iterable(map(self.kept.__getitem__, self.split.findall(marked))))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids that encode() gives."""
         if not len(ids):
             return ""
+        if not self.high[ids].any():
+            return "".join(map(self.plain.__getitem__, ids))[1:]
         out: list[str] = []
         pending = bytearray()
         text, byte_of = self.text, self.byte_of
@@ -219,8 +236,10 @@ def encoder(spark: SparkSession, model: bytes):
 
     @F.arrow_udf("array<int>")
     def encode_pieces(texts: pa.Array) -> pa.Array:
-        pieces = _ready(model)
-        return pa.array([None if t is None else pieces.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        pieces, rows = _ready(model), texts.to_pylist()
+        # texts that a batch holds again are encoded once
+        done = {t: None if t is None else pieces.encode(t) for t in dict.fromkeys(rows)}
+        return pa.array([done[t] for t in rows], pa.list_(pa.int32()))
 
     return encode_pieces
 
