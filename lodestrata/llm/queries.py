@@ -61,7 +61,8 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(documents(spark, sf_dir), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # what is left as text too; a character that a stretch cuts in two is replaced there, but not in the digest
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:

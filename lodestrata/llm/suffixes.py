@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from lodestrata.llm.common import dropped, row_map, small_batches, written
 
 LENGTH, GRAM = 400, 32
 BATCHES = 4
+#: A gram with more contexts is not solved in one task: its windows are counted one by one.
+MOST_CONTEXTS = 2000
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -205,6 +208,23 @@ def _matches(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key binary, lo long, hi long")
 
 
+def _windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The same by counting: each window of length bytes around a place is a row, so a gram's places lie in no group of their own.
+
+    Windows are known by a 128-bit hash and counted with partial sums; those that come again are joined to their places.
+    """
+
+    def one(x: dict) -> list[dict]:
+        data, lo = bytes(x["l"]) + bytes(x["r"]), x["pos"] - len(x["l"])
+        return [{"w": xxhash.xxh3_128_digest(data[i : i + length]), "lo": lo + i} for i in range(min(len(x["l"]), len(data) - length) + 1)]
+
+    found = row_map(contexts, [F.col("key")], F.struct("pos", "l", "r"), lambda: one, "x array<struct<w:binary,lo:long>>")
+    # several grams may lie in a window
+    windows = written(found.select("key", F.explode("x").alias("x")).select("key", "x.w", "x.lo").distinct())
+    again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
+    return windows.join(again, "w").select("key", "lo", (F.col("lo") + length).alias("hi"))
+
+
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching stretches."""
     out: list[tuple[int, int]] = []
@@ -242,7 +262,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = long.join(places, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("rep")))
     contexts = row_map(one, [F.col("_key").alias("key")], F.struct("_data", "places"), lambda: lambda x: [_context(x["_data"], p, length) for p in x["places"]], "c array<struct<gram:binary,pos:long,l:binary,r:binary>>")
     contexts = contexts.select("key", F.explode("c").alias("c")).select("c.gram", "key", "c.pos", "c.l", "c.r")
-    spans = _matches(contexts, length).distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("some"))
+    contexts = written(contexts)
+    hot = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MOST_CONTEXTS).select("gram"))
+    if hot.isEmpty():
+        matches = _matches(contexts, length)
+    else:
+        matches = _matches(contexts.join(hot, "gram", "left_anti"), length).unionByName(_windows(contexts.join(hot, "gram", "left_semi"), length))
+    spans = matches.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("some"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
     verdict = copies.join(spans, F.col("_key") == F.col("key"), "left").filter("copies > 1 or key is not null")
     verdict = written(verdict.select(F.col("_key").alias("key"), F.when(F.col("copies") > 1, whole).otherwise(F.col("some")).alias("spans")))

@@ -292,3 +292,11 @@ def test_png_filters_and_damage():
             media.png_decode(data[:i] + bytes([data[i] ^ 1]) + data[i + 1 :])
     with pytest.raises(ValueError):
         media.png_decode(data[:-12])
+
+
+def test_repeats_of_grams_in_very_many_places(spark, data, monkeypatch):
+    """Grams above the bound are counted window by window, with the same result."""
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", 1)
+    want = brute.repeats(docs_of(spark, data, "text"), 400)
+    got = of(queries.op9_suffix_dedup(spark, data).filter("doc_id is not null").collect(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == {d: (n, m, s, brute.sha(b)) for d, (n, m, s, b) in want.items()}
