@@ -24,6 +24,8 @@ BUCKET_BYTES = 4 << 20
 OVER = 4
 #: Buckets whose offsets one task sums up.
 GROUP = 4096
+#: Offsets of up to so many buckets (16 bytes each) are sent to all executors; with more, they are joined, which shuffles the records once more.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def fisher_yates(items: Column, seed: Column) -> Column:
@@ -98,24 +100,30 @@ def external_shuffle(df: DataFrame, id_col: str, n_shards: int, seed: int = 7, b
         .select("_bucket", (F.col("_base") + F.col("_in")).alias("_start"))
     )
 
+    starts = written(starts)
+    few = starts.count() <= BROADCAST_BUCKETS
+
+    # buckets are dealt in their order, so that a task writes a stretch of a shard or two and records move once
+    given = given.repartitionByRange("_bucket")
     order = F.array_sort(F.collect_list("_r"))
     # places are drawn, not records: a swap then moves no text
     places = fisher_yates(F.sequence(F.lit(0), F.size("_rows") - 1), F.xxhash64(F.lit(seed + 2), F.col("_bucket")))
     drawn = given.groupBy("_bucket").agg(order.alias("_rows")).select("_bucket", F.transform(places, lambda i: F.get("_rows", i)).alias("_rows"))
-    at = drawn.join(starts, "_bucket").select("_start", F.posexplode("_rows").alias("_i", "_r")).select((F.col("_start") + F.col("_i")).alias("_at"), "_r")
+    at = drawn.join(F.broadcast(starts) if few else starts, "_bucket").select("_start", F.posexplode("_rows").alias("_i", "_r")).select((F.col("_start") + F.col("_i")).alias("_at"), "_r")
     shard = F.expr(f"(_at * {n_shards}) div {max(1, total)}")
     first = F.expr(f"(_shard * {total} + {n_shards - 1}) div {n_shards}")
-    return at.withColumn("_shard", shard).select(*(F.col(f"_r.`{c}`").alias(c) for c in kept), F.col("_shard").cast("int").alias("shard"), (F.col("_at") - first).cast("long").alias("slot"))
+    placed = at.withColumn("_shard", shard).select(*(F.col(f"_r.`{c}`").alias(c) for c in kept), F.col("_shard").cast("int").alias("shard"), (F.col("_at") - first).cast("long").alias("slot"))
+    return placed if few else placed.repartitionByRange("shard", "slot")
 
 
-def write_shards(df: DataFrame, path: str, n_shards: int) -> None:
-    """Writes what external_shuffle() returns, a folder for each shard, rows in the order of their slots."""
-    df.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str) -> None:
+    """Writes what external_shuffle() returns, a folder for each shard; its files hold stretches of slots, in their order."""
+    df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def sharded(df: DataFrame, id_col: str, n_shards: int, seed: int = 7) -> DataFrame:
     """df shuffled, written as shards to the shared folder, and read again."""
     placed = external_shuffle(df, id_col, n_shards, seed)
     path = f"{shared_dir(df.sparkSession)}/lodestrata-shards-{uuid.uuid4().hex}"
-    write_shards(placed, path, n_shards)
+    write_shards(placed, path)
     return df.sparkSession.read.schema(placed.schema).parquet(path)

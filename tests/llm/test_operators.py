@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -223,6 +224,8 @@ def test_sharding(spark, data):
     sizes = [len(counts.get(s, ())) for s in range(40)]
     assert max(sizes) - min(sizes) <= 1 and sum(sizes) == n
     assert sorted(map(str, rows)) == sorted(map(str, queries.op8_external_shuffle(spark, data).collect()))
+    want = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert sorted(map(str, ((r.doc_id, r["size"], r.text_crc32) for r in rows))) == sorted(map(str, want))
 
 
 def test_fisher_yates(spark):
@@ -236,7 +239,7 @@ def test_fisher_yates(spark):
 
 def test_write_shards(spark, tiny, tmp_path):
     placed = sharding.external_shuffle(spark.read.parquet(f"{tiny}/documents.parquet"), "doc_id", 5)
-    sharding.write_shards(placed, str(tmp_path / "s"), 5)
+    sharding.write_shards(placed, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == placed.count() and back.select("shard").distinct().count() == 5
 
