@@ -116,12 +116,11 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
         usable = [(p, s, i) for i, (p, s, k) in enumerate(table) if k in (_NORMAL, _USER) and p]
         self.byte_score = min((s for _, s, _ in usable if s > _BANNED), default=0.0) - PENALTY
-        self.automaton = ahocorasick.Automaton()
-        for p, s, i in usable:
-            self.automaton.add_word(p, (len(p), s, i))
-        self.automaton.make_automaton()
         #: Characters that are pieces by themselves, so that every place after them can be reached without bytes.
         self.covered = frozenset(p for p, _, _ in usable if len(p) == 1)
+        self.automaton = self._automaton(usable)
+        # a piece that its own parts outscore is on no best path, so it needn't be found
+        self.automaton = self._automaton([x for x in usable if self.viterbi(x[0]) == (x[2],)])
         held = {c for p, _, _ in usable for c in p}
         #: Cuts marked text at places that no piece of this model reaches across; None if there may be none.
         self.split = None
@@ -133,6 +132,14 @@ class Pieces:
         self.plain = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.text)]
         self.high = np.array([i in self.byte_of and self.byte_of[i] > 127 for i in range(len(self.text))])
 
+    @staticmethod
+    def _automaton(pieces: list[tuple[str, float, int]]) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton()
+        for p, s, i in pieces:
+            automaton.add_word(p, (len(p), s, i))
+        automaton.make_automaton()
+        return automaton
+
     def viterbi(self, part: str) -> tuple[int, ...]:
         """The best path over a stretch of text."""
         n = len(part)
