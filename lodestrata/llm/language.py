@@ -8,7 +8,6 @@ are calibrated on labelled documents that the training didn't see.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +29,11 @@ MOST_WRONG = 0.01
 #: Bytes of a text that are in arrays at a time.
 STRETCH = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def prepared(text: str) -> bytes:

@@ -5,8 +5,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
-import duckdb
-import pyarrow as pa
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -37,6 +36,18 @@ def edits(a, b):
     return before[-1]
 
 
+def within(a, b, most):
+    """Whether at most so many edits lead from a to b, a row of the table at a time."""
+    y, steps = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
+    row = steps
+    for i, c in enumerate(map(ord, a), 1):
+        now = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != c))])
+        row = np.minimum.accumulate(now - steps) + steps
+        if row.min() > most:
+            return False
+    return bool(row[-1] <= most)
+
+
 def line_dedup(docs, similarity=0.8):
     """(id, text) rows to {id: (lines, removed, kept text)}, by edit similarity alone."""
     places = defaultdict(list)
@@ -49,11 +60,11 @@ def line_dedup(docs, similarity=0.8):
     norms = sorted(places)
     u = Union(norms)
     long = [n for n in norms if len(n.split(" ")) >= 5]
-    con = duckdb.connect()
-    con.register("lines", pa.table({"i": pa.array(range(len(long)), pa.int64()), "t": pa.array(long, pa.string())}))
-    most = f"greatest(length(x.t), length(y.t)) * {round((1 - similarity) * 1000)} // 1000"
-    for a, b in con.sql(f"SELECT x.i, y.i FROM lines x JOIN lines y ON x.i < y.i AND abs(length(x.t) - length(y.t)) <= {most} WHERE levenshtein(x.t, y.t) <= {most}").fetchall():
-        u.join(long[a], long[b])
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
+            most = max(len(a), len(b)) * round((1 - similarity) * 1000) // 1000
+            if abs(len(a) - len(b)) <= most and within(a, b, most):
+                u.join(a, b)
     groups = defaultdict(list)
     for n in norms:
         groups[u.find(n)] += places[n]
