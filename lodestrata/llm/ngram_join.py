@@ -192,7 +192,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = written(components(links))
 
     # documents that share a token but no component yet, where the token has more than its first pair
-    placed = members.filter("c > 2").select("token", "x._id", "x.n", "x.i").join(groups.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    # components come to whole documents, not to each of their tokens
+    held = members.filter("c > 2").groupBy("x._id").agg(F.collect_list(F.struct("token", "x.n", "x.i")).alias("held"))
+    held = held.join(groups.withColumnRenamed("id", "_id"), "_id", "left")
+    placed = written(held.select("_id", F.coalesce("component", "_id").alias("component"), F.inline("held")))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     placed = written(placed.join(mixed, "token", "left_semi"))
     one, two = (placed.select("token", F.col("_id").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
