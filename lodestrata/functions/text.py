@@ -106,6 +106,11 @@ def singular_words(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.left(w, F.length(w) - 1)).otherwise(w)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once per row however often use names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without_zeros(number: Column) -> Column:
     return F.regexp_replace(F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, "0+$", "")).otherwise(number), r"\.$", "")
 
@@ -116,8 +121,9 @@ def general_format(value: Column) -> Column:
     science = F.format_string("%.5e", value)
     exponent = F.regexp_extract(science, r"e([+-]\d+)$", 1).try_cast("int")
     mantissa = _without_zeros(F.regexp_extract(science, r"^(-?[\d.]+)e", 1))
-    fixed = F.get(F.array(*(F.format_string(f"%.{5 - e}f", value) for e in range(-4, 6))), exponent + 4)
-    return F.when(value == 0, "0").when(exponent.between(-4, 5), _without_zeros(fixed)).otherwise(F.concat(mantissa, F.lit("e"), F.regexp_extract(science, r"e([+-]\d+)$", 1)))
+    form = F.concat(F.lit("%."), (5 - exponent).cast("string"), F.lit("f"))
+    fixed = F.when(exponent.between(-4, 5), F.call_function("format_string", form, value))
+    return F.when(value == 0, "0").when(fixed.isNotNull(), _without_zeros(fixed)).otherwise(F.concat(mantissa, F.lit("e"), F.regexp_extract(science, r"e([+-]\d+)$", 1)))
 
 
 def two_decimals(value: Column) -> Column:
@@ -131,8 +137,9 @@ def price_forms(value: Column, thousands: bool = False) -> Column:
     whole = F.when(value == F.floor(value), F.floor(value).cast("string"))
     forms = [general_format(value), two, F.replace(two, F.lit("."), F.lit(",")), F.bround(value * 100, 0).cast("bigint").cast("string"), whole]
     if thousands:
-        grouped = F.format_number(F.floor(value), 0)
-        forms += [F.when(value >= 1000, x) for x in (F.concat(grouped, F.substring(two, -3, 3)), grouped, F.replace(grouped, F.lit(","), F.lit(".")))]
+        exact = F.format_number(two.cast("decimal(38,2)"), 2)
+        grouped = F.regexp_replace(exact, r"\.\d+$", "")
+        forms += [F.when(value >= 1000, x) for x in (exact, grouped, F.replace(grouped, F.lit(","), F.lit(".")))]
     return F.array_distinct(F.array_compact(F.array(*forms)))
 
 

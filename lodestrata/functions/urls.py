@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import bound
+
 # Fixed values.
 IMAGE_EXT = r"(?i)\.(?:jpe?g|png|webp|avif|gif)(?:\?|$)"
 VIDEO_EXT = r"(?i)\.(?:mp4|webm|m3u8)(?:\?|$)"
@@ -45,19 +47,21 @@ def sized_twin(url: Column) -> Column:
 
 def asset_key(url: Column) -> Column:
     """What tells a picture from others, whatever host, size, rendition or content hash its URL has."""
-    base = F.get(F.split(without_query(url), "#"), F.lit(0))
-    base = F.regexp_replace(base, SIZE_SEGMENT, "/")
-    after_scheme = F.when(F.contains(base, F.lit("//")), F.substr(base, F.locate("//", base) + 2)).otherwise(base)
-    segments = F.split(after_scheme, "/")
-    segments = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0)))
+    plain = F.regexp_replace(F.get(F.split(without_query(url), "#"), F.lit(0)), SIZE_SEGMENT, "/")
 
     def tokens(segment: Column) -> Column:
         parts = F.split(F.lower(segment), "[^a-z0-9]+")
         content_hash = lambda t: (F.length(t) >= 6) & t.rlike("^[0-9a-f]+$") & t.rlike("[a-f]")
         return F.filter(parts, lambda t: (t != "") & ~t.isin(RENDITION_WORDS) & ~content_hash(t) & ~t.rlike(r"^\d{2,4}x\d{0,4}$"))
 
-    kept = F.filter(F.transform(F.filter(segments, lambda s: ~s.rlike("[,:=]")), lambda s: F.array_join(tokens(s), "-")), lambda s: s != "")
-    return F.when(F.size(kept) > 0, F.array_join(kept, "/")).otherwise(F.lower(base))
+    def named(base: Column) -> Column:
+        after_scheme = F.when(F.contains(base, F.lit("//")), F.substr(base, F.locate("//", base) + 2)).otherwise(base)
+        path = bound(F.split(after_scheme, "/"), lambda s: F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))))
+        words = F.transform(F.filter(path, lambda s: ~s.rlike("[,:=]")), lambda s: F.array_join(tokens(s), "-"))
+        kept = F.array_join(F.filter(words, lambda s: s != ""), "/")
+        return bound(kept, lambda k: F.when(k != "", k).otherwise(F.lower(base)))
+
+    return bound(plain, named)
 
 
 def quality(url: Column, origin: Column, width: Column) -> Column:

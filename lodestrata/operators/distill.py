@@ -15,7 +15,7 @@ from lodestrata.operators import media
 
 @dataclass(frozen=True)
 class Budgets:
-    """Characters of each channel, and how many blobs and scripts count."""
+    """Characters of each channel, and how many blobs, scripts and media count."""
 
     json_ld: int = 20_000
     meta: int = 2_000
@@ -25,6 +25,8 @@ class Budgets:
     n_blobs: int = 3
     n_scripts: int = 2
     least_left: int = 2_000
+    images: int = media.MOST_IMAGES
+    videos: int = media.MOST_VIDEOS
 
 
 PRODUCT_TYPES = ("Product", "ProductGroup")
@@ -91,7 +93,7 @@ def distill(harvested: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
 
     seen = base.select(F.col("id").alias("page"), F.explode(e["media"]).alias("m")).select("page", "m.*")
     stems = base.select(F.col("id").alias("page"), media.heroes(e["meta"]).alias("stems"))
-    shown = media.per_page(media.ranked(seen, stems)).withColumnRenamed("page", "id")
+    shown = media.per_page(media.ranked(seen, stems, budgets.images, budgets.videos)).withColumnRenamed("page", "id")
     base = base.join(shown, "id", "left")
 
     meta_lines = F.array_join(F.transform(F.map_entries(e["meta"]), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")

@@ -117,7 +117,7 @@ class RuleDrafter:
         wanted = F.transform(f["image_urls"], urls.asset_key)
         ids = F.filter(F.transform("images", lambda u, i: F.when(F.array_contains(wanted, urls.asset_key(u)), i)), lambda i: i.isNotNull())
         first = F.when(F.size("images") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        price = F.when(F.coalesce(F.contains("repair", F.lit("price")), F.lit(False)), 0.0).otherwise(f["price"])
+        price = F.when((f["price"] != 0) & ~F.coalesce(F.contains("repair", F.lit("price")), F.lit(False)), f["price"])
         names = filled(f["name"], m("og:title"), e["h1"], e["title"])
         fields = {
             "name": names, "price": price, "currency": f["currency"], "compare_at_price": F.lit(None), "description": filled(f["description"], m("og:description"), m("description")),
@@ -130,7 +130,7 @@ class RuleDrafter:
 
 def problems(draft: Column, context: Column, n_images: Column) -> Column:
     """Messages for what the page doesn't bear out: prices that it doesn't show, images that don't exist or weren't chosen."""
-    price = lambda name, value: F.when(value.isNotNull() & (value != 0) & ~text.on_page(value, context), F.concat(F.lit(f"{name} "), text.general_format(value), F.lit(" is not on the page")))
+    price = lambda name, value: F.when(value.isNotNull() & ~text.on_page(value, context), F.concat(F.lit(f"{name} "), text.general_format(value), F.lit(" is not on the page")))
     ids = F.coalesce(draft["image_ids"], F.array().cast("array<int>"))
     return F.array_compact(
         F.array(
@@ -173,22 +173,31 @@ def assembled(good: DataFrame, categories: DataFrame) -> DataFrame:
     variants = F.transform(F.filter(d["variants"], lambda v: F.size(v["selections"]) > 0), variant)
     joined = good.join(categories.withColumnRenamed("q", "id"), "id")
     return joined.select(
-        "id", d["name"].alias("name"), F.struct(d["price"].alias("price"), d["currency"].alias("currency"), d["compare_at_price"].alias("compare_at_price")).alias("price"),
+        "id", d["name"].alias("name"), F.struct(F.coalesce(d["price"], F.lit(0.0)).alias("price"), d["currency"].alias("currency"), d["compare_at_price"].alias("compare_at_price")).alias("price"),
         d["description"].alias("description"), d["key_features"].alias("key_features"), at_indices(F.col("images"), d["image_ids"]).alias("image_urls"),
         F.when(d["video_id"] >= 0, F.get("videos", d["video_id"])).alias("video_url"), F.struct(F.col("category").alias("name")).alias("category"), d["brand"].alias("brand"),
         d["colors"].alias("colors"), d["options"].alias("options"), variants.alias("variants"),
     )
 
 
-def extract_products(contexts: DataFrame, paths: DataFrame, ladder: list[Drafter] | None = None) -> DataFrame:
-    """Products of distilled pages: drafted, checked, classified and assembled. Pages that fail any step have no row and break no other."""
-    good, _ = drafted(contexts, ladder or [RuleDrafter(), RuleDrafter()])
+def extract_batch(contexts: DataFrame, paths: DataFrame, ladder: list[Drafter] | None = None, vector: taxonomy.Ranker | None = None) -> tuple[DataFrame, DataFrame]:
+    """Products of distilled pages (drafted, checked, classified and assembled), and the dead letters: id and error of the pages
+    that no rung mended or that have no category. A page that fails breaks no other. With vector, categories come from both retrievals.
+    """
+    good, dead = drafted(contexts, ladder or [RuleDrafter(), RuleDrafter()])
     d = F.col("draft")
     asked = taxonomy.query_text(F.array_join(d["candidate_categories"], " "), d["name"], d["brand"], d["description"], text.breadcrumb_hint(F.col("context")))
-    return assembled(good, taxonomy.resolved(good.select(F.col("id").alias("q"), asked.alias("text")), paths))
+    categories = materialized(taxonomy.resolved(good.select(F.col("id").alias("q"), asked.alias("text")), paths, vector=vector))
+    unplaced = good.join(categories.select(F.col("q").alias("id")), "id", "left_anti").select("id", F.lit("no category matches").alias("error"))
+    return assembled(good, categories), dead.select("id", "error").unionByName(unplaced)
+
+
+def extract_products(contexts: DataFrame, paths: DataFrame, ladder: list[Drafter] | None = None, vector: taxonomy.Ranker | None = None) -> DataFrame:
+    """The products of extract_batch; pages that fail any step have no row."""
+    return extract_batch(contexts, paths, ladder, vector)[0]
 
 
 def tally(good: DataFrame, dead: DataFrame) -> DataFrame:
-    """ok, n, some ids: how a batch went."""
+    """ok, n, first_id: how a batch went, and the least id of either kind."""
     rows = good.select("id", F.lit(True).alias("ok")).unionByName(dead.select("id", F.lit(False).alias("ok")))
-    return rows.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("ok").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))

@@ -52,8 +52,9 @@ def feature_score(truth: Column, out: Column) -> Column:
     """Share of the expected features that some feature matches in full; 1 where none is expected."""
     truth_sets = F.transform(F.coalesce(truth, F.array().cast("array<string>")), text.word_set)
     out_sets = F.transform(F.coalesce(out, F.array().cast("array<string>")), text.word_set)
-    hits = F.filter(truth_sets, lambda a: F.exists(out_sets, lambda b: set_text_score(a, b) == 1.0))
-    return F.when(F.size(truth_sets) == 0, 1.0).otherwise(F.size(hits) / F.nullif(F.size(truth_sets), F.lit(0)))
+    hits = text.bound(out_sets, lambda sets: F.size(F.filter(truth_sets, lambda a: F.exists(sets, lambda b: set_text_score(a, b) == 1.0))))
+    expected = F.coalesce(F.size(truth), F.lit(0))
+    return F.when(expected <= 0, 1.0).otherwise(hits / F.nullif(expected, F.lit(0)))
 
 
 def f1(truth: Column, out: Column) -> Column:
@@ -87,19 +88,30 @@ def _selection_key(variant: Column) -> Column:
 
 
 def listed_variant_score(truth: Column, out: Column) -> Column:
-    """Half recall, a quarter precision, a quarter the quality of hits; of equal variants the last counts."""
-    keyed = F.transform(out, lambda v: F.struct(_selection_key(v).alias("key"), v["price"].alias("price"), v["available"].alias("available")))
+    """Half recall, a quarter precision, a quarter the quality of hits; of equal variants the last counts.
 
-    def quality(t: Column) -> Column:
-        key = _selection_key(t)
-        hit = F.try_element_at(F.filter(keyed, lambda v: v["key"] == key), F.lit(-1))
+    Both sides' keys are made once a row; a truth variant's hit is looked up by its key's place.
+    """
+    rows = F.reverse(out)
+    sides = F.struct(F.transform(rows, _selection_key).alias("keys"), F.transform(rows, lambda v: F.struct(v["price"].alias("price"), v["available"].alias("available"))).alias("rows"))
+
+    def quality(t: Column, hit: Column) -> Column:
         wrong_price = t["price"].isNotNull() & (hit["price"].isNull() | (F.abs(t["price"] - hit["price"]) > CENT))
         missing = F.when(wrong_price, 0.25).otherwise(0.0) + F.when(t["available"].eqNullSafe(hit["available"]), 0.0).otherwise(0.25)
         return F.when(hit.isNotNull(), 1.0 - missing)
 
-    found = F.filter(F.transform(truth, quality), lambda q: q.isNotNull())
-    hits = F.size(found)
-    mean = F.coalesce(F.aggregate(found, F.lit(0.0), lambda s, q: s + q) / F.nullif(hits, F.lit(0)), F.lit(0.0))
+    def of(side: Column) -> Column:
+        hit = lambda t: F.get(side["rows"], (F.array_position(side["keys"], _selection_key(t)) - 1).cast("int"))
+        marks = F.transform(truth, lambda t: text.bound(hit(t), lambda h: quality(t, h)))
+        some = F.filter(marks, lambda q: q.isNotNull())
+        return F.struct(F.size(some).alias("n"), F.aggregate(some, F.lit(0.0), lambda s, q: s + q).alias("sum"))
+
+    return text.bound(text.bound(sides, of), lambda found: _listed_score(truth, out, found))
+
+
+def _listed_score(truth: Column, out: Column, found: Column) -> Column:
+    hits = found["n"]
+    mean = F.coalesce(found["sum"] / F.nullif(hits, F.lit(0)), F.lit(0.0))
     precision = F.coalesce(hits / F.nullif(F.size(out), F.lit(0)), F.lit(0.0))
     score = F.bround(hits / F.nullif(F.size(truth), F.lit(0)) * 0.5 + precision * 0.25 + mean * 0.25, 2)
     return F.when(F.size(truth) == 0, F.when(F.size(out) == 0, 1.0).otherwise(0.0)).otherwise(score)

@@ -45,8 +45,8 @@ def merged_sightings(sightings: DataFrame) -> DataFrame:
     )
 
 
-def ranked(candidates: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """The best rendition of each asset, with its rank among the page's kind; filtered and capped.
+def ranked(candidates: DataFrame, stems: DataFrame | None = None, images: int = MOST_IMAGES, videos: int = MOST_VIDEOS) -> DataFrame:
+    """The best rendition of each asset, with its rank among the page's kind; filtered and capped at so many images and videos.
 
     candidates: page, seq, url, kind, origin, width, path_hint; stems: page, stems. Groups that only related rails show
     go where enough others are left; where enough are boosted by a selected path, unboosted structured ones go.
@@ -73,7 +73,7 @@ def ranked(candidates: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     relevance = F.struct((~F.col("demoted")).alias("a"), F.col("boosted").alias("b"), F.col("stem_hits").alias("c"), F.col("spread").alias("d"), F.col("best.quality").alias("e"))
     order = Window.partitionBy("page", "kind").orderBy(relevance.desc(), F.col("seq"))
     kept = counted.filter(~lost).withColumn("rank", F.row_number().over(order) - 1)
-    kept = kept.filter(((F.col("kind") == "image") & (F.col("rank") < MOST_IMAGES)) | ((F.col("kind") == "video") & (F.col("rank") < MOST_VIDEOS)))
+    kept = kept.filter(((F.col("kind") == "image") & (F.col("rank") < images)) | ((F.col("kind") == "video") & (F.col("rank") < videos)))
     return kept.select("page", "kind", "asset", "rank", "best.url", "best.origin", "best.width", "best.path_hint", "demoted", "boosted", "stem_hits", "spread", "seq")
 
 

@@ -6,7 +6,7 @@ never made. Vector search compares every query with every path in blocks of quer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -21,7 +21,7 @@ from lodestrata.functions.materialize import materialized
 
 # Fixed values.
 LEAF_WEIGHT, DEPTH_WEIGHT = 1.5, 0.05
-LEXICAL_K, RETRY_K, VECTOR_K = 100, 300, 50
+LEXICAL_K, VECTOR_K = 100, 50
 EPSILON = 1e-9
 QUERY_DESCRIPTION = 300
 #: Queries that vector_topk() sends to the paths' partitions at once, and paths that are one matrix.
@@ -126,16 +126,21 @@ def union_shortlist(lexical: DataFrame, vector: DataFrame, queries: DataFrame, p
     return merged.select("q", "path", (F.row_number().over(order) - 1).alias("idx"))
 
 
-def resolved(drafts: DataFrame, paths: DataFrame, k: int = LEXICAL_K, retry_k: int = RETRY_K) -> DataFrame:
-    """q, category: the best path for each draft by a deterministic pick of rank 1, with a second pass of a longer list for those that got none.
+#: From queries (q, text) to their paths by vectors: q, path, rank.
+Ranker = Callable[[DataFrame], DataFrame]
+
+
+def resolved(drafts: DataFrame, paths: DataFrame, vector: Ranker | None = None) -> DataFrame:
+    """q, category: the best path for each draft by a deterministic pick: lexical rank 1, else (where vector is given) the nearest vector.
 
     drafts: q, text (candidate names, product name, brand, the description's beginning, a breadcrumb hint). Drafts without a
     match have no row: nothing is silently made up.
     """
-    found = lexical_topk(drafts, paths, k).filter("rank = 1").select("q", F.col("path").alias("category"))
-    rest = drafts.join(found.select("q"), "q", "left_anti")
-    again = lexical_topk(rest, paths, retry_k).filter("rank = 1").select("q", F.col("path").alias("category"))
-    return found.unionByName(again).join(paths.select(F.col("path").alias("category")), "category", "left_semi")
+    found = lexical_topk(drafts, paths, 1).select("q", F.col("path").alias("category"))
+    if vector:
+        rest = drafts.join(found.select("q"), "q", "left_anti")
+        found = found.unionByName(vector(rest).filter("rank = 1").select("q", F.col("path").alias("category")))
+    return found.join(paths.select(F.col("path").alias("category")), "category", "left_semi")
 
 
 def query_text(candidate: Column, name: Column, brand: Column, description: Column, breadcrumb: Column) -> Column:

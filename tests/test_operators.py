@@ -43,11 +43,11 @@ def test_density_and_score(spark):
     assert value(spark, text.commerce_score(F.array().cast("array<string>"))) == 0.0
 
 
-@pytest.mark.parametrize("number", [0.0, 5.0, 129.0, 129.5, 0.5, 1234.0, 1234.56, 123456.0, 1234567.0, 0.00001234])
+@pytest.mark.parametrize("number", [0.0, 5.0, 129.0, 129.5, 0.5, 1234.0, 1234.56, 1234.999, 123456.0, 1234567.0, 0.00001234])
 def test_price_forms(spark, number):
     assert value(spark, text.general_format(lit(number))) == f"{number:g}"
     assert f"{number:.2f}" in value(spark, text.price_forms(lit(number)))
-    assert {f"{number:,.2f}", f"{int(number):,}"} <= set(value(spark, text.price_forms(lit(number), True))) or number < 1000
+    assert {f"{number:,.2f}", f"{number:,.2f}"[:-3]} <= set(value(spark, text.price_forms(lit(number), True))) or number < 1000
 
 
 def test_fit_and_lines(spark):
@@ -122,7 +122,24 @@ def test_media_groups(spark):
     df = spark.createDataFrame(rows, "page int, seq int, url string, kind string, origin string, width int, path_hint string")
     assert media.per_page(media.ranked(df)).first().images == ["https://s.com/front.jpg", "https://s.com/side.jpg", "https://s.com/back.jpg"]
     many = spark.createDataFrame([(1, i, f"https://s.com/n{i}.jpg", "image", "dom", None, "") for i in range(60)], df.schema)
-    assert media.ranked(many).count() == 40
+    assert media.ranked(many).count() == 40 and media.ranked(many, images=400).count() == 60
+
+
+def test_variants_last_of_a_key_counts(spark):
+    truth = '[{"selections":[{"name":"Size","value":"M"}],"sku":null,"price":5.0,"available":true,"image_urls":[]},{"selections":[{"name":"Size","value":"XL"}],"sku":null,"price":5.0,"available":true,"image_urls":[]}]'
+    own = lambda size, price: F.struct(F.array(F.struct(lit("SIZE").alias("name"), lit(size).alias("value"))).alias("selections"), lit("s").alias("sku"), lit(price).alias("price"), lit(True).alias("available"), F.array(lit("u")).alias("image_urls"))
+    assert value(spark, evaluate.variant_score(lit(truth), F.array(own("m", 5.0), own("m", 9.0)))) == 0.56
+    assert value(spark, evaluate.variant_score(lit(truth), F.array(own("m", 9.0), own("m", 5.0)))) == 0.62
+    assert value(spark, evaluate.variant_score(lit("[]"), F.array().cast(f"array<{schemas.VARIANT}>"))) == 1.0
+
+
+def test_batch_keeps_dead_letters(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, "<title>Bare</title>")], "page_id long, html string")
+    contexts = distill.distill(distill.harvest(df, "page_id", "html"))
+    paths = taxonomy.prepared(spark.createDataFrame([("Tools > Drill",)], "path string"))
+    made, dead = draft.extract_batch(contexts, paths)
+    assert [r.id for r in made.collect()] == [1] and [(r.id, r.error) for r in dead.collect()] == [(2, "no category matches")]
+    assert {r.ok: (r.n, r.first_id) for r in draft.tally(made, dead).collect()} == {True: (1, 1), False: (1, 2)}
 
 
 # --- drafts, search, catalog -----------------------------------------------------------------------
@@ -136,6 +153,8 @@ def test_drafts(spark):
     assert rows[1].name == "Drill" and rows[1].price == 12.5 and rows[1].image_ids == [0, 1] and rows[2].name == "Bare" and dead.count() == 0
     assert {r.ok: r.n for r in draft.tally(good, dead).collect()} == {True: 2}
     d = F.struct(lit(7.0).alias("price"), lit(None).cast("double").alias("compare_at_price"), F.array(lit(2), lit(-1)).alias("image_ids"))
+    free = F.struct(lit(0.0).alias("price"), lit(None).cast("double").alias("compare_at_price"), F.array(lit(0)).alias("image_ids"))
+    assert value(spark, draft.problems(free, lit("costs 8"), lit(2))) == ["price 0 is not on the page"] and value(spark, draft.problems(free, lit("0 now"), lit(2))) == []
     assert value(spark, draft.problems(d, lit("costs 8"), lit(2))) == ["price 7 is not on the page", "image ids must be 0 to 1"]
     base = draft.baseline(distill.harvest(df, "page_id", "html"), taxonomy.prepared(spark.createDataFrame([("Tools > Drills",)], "path string")))
     got = {r.id: r for r in base.collect()}
@@ -150,6 +169,8 @@ def test_retrieval(spark):
     more = taxonomy.with_top_levels(found, asked, paths)
     assert [r.path for r in more.filter("q = 'a'").orderBy("rank").collect()] == ["Toys > Drill Sets", "Tools > Drills", "Food", "Tools"]
     assert [r.q for r in taxonomy.resolved(asked, paths).collect()] == ["a"]
+    food = lambda rest: rest.select("q", F.lit("Food").alias("path"), F.lit(1).alias("rank"))
+    assert {r.q: r.category for r in taxonomy.resolved(asked, paths, vector=food).collect()} == {"a": "Toys > Drill Sets", "b": "Food"}
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "path int, embedding array<float>")
     near = taxonomy.vector_topk(vectors.withColumnRenamed("path", "q"), vectors, 2)
     assert [r.path for r in near.filter("q = 1").orderBy("rank").collect()] == [1, 3]
