@@ -1,8 +1,10 @@
 """Plain, slow versions of the operators, to hold results against."""
 
 import hashlib
+import math
 import re
 import string
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -163,3 +165,58 @@ def viterbi(text, pieces, byte_score):
             if s is not None:
                 best[end] = max(best[end], best[start] + s)
     return best[-1]
+
+
+def template_pattern(markup):
+    """A template as one regular expression over a text's words, each followed by a space."""
+    out = ""
+    for m in re.finditer(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\s\[\]{}]+", markup):
+        if m[0] == "[[":
+            out += "(?:"
+        elif m[0] == "]]":
+            out += ")?"
+        elif m[1]:
+            out += f"(?:[^ ]+ ){{0,{m[1]}}}"
+        else:
+            out += "".join(re.escape(w) + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", m[0].translate(LOW)))
+    return re.compile("(?:^|(?<= ))" + out)
+
+
+def template_labels(text, templates):
+    """Labels of the (label, pattern) templates whose wording a text has."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    line = "".join(w + " " for w in words)
+    return {label for label, p in templates if p.search(line)}
+
+
+def png_samples(data):
+    """Samples of an 8-bit greyscale PNG with filters None, Sub and Up, byte by byte."""
+    at, body, width = 8, b"", 0
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + part) == int.from_bytes(data[at + 8 + size : at + 12 + size], "big")
+        width = int.from_bytes(part[:4], "big") if kind == b"IHDR" else width
+        body += part if kind == b"IDAT" else b""
+        at += 12 + size
+    flat, out, above = zlib.decompress(body), bytearray(), bytes(width)
+    for y in range(0, len(flat), width + 1):
+        kind, line = flat[y], bytearray(flat[y + 1 : y + 1 + width])
+        for x in range(width):
+            guess = 0 if kind == 0 else (line[x - 1] if x else 0) if kind == 1 else above[x]
+            line[x] = (line[x] + guess) & 255
+        out += line
+        above = bytes(line)
+    return bytes(out)
+
+
+def cosine_feature(payload):
+    """The 8 x 8 lowest cosine sums over the picture's 32 x 32 means (rows of 64 samples), as bits above their median."""
+    n = len(payload) // 64
+    rows = [range(y * n // 32, max(y * n // 32 + 1, (y + 1) * n // 32)) for y in range(32)]
+    cell = [[sum(payload[r * 64 + 2 * x] + payload[r * 64 + 2 * x + 1] for r in rr) / (2 * len(rr)) for x in range(32)] for rr in rows]
+    wave = [[math.cos(math.pi * u * (2 * k + 1) / 64) for k in range(32)] for u in range(8)]
+    half = [[sum(wave[u][y] * cell[y][x] for y in range(32)) for x in range(32)] for u in range(8)]
+    low = [round(sum(half[u][x] * wave[v][x] for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if i and v > middle else '0' for i, v in enumerate(low)), 2):016x}"

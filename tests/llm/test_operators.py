@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -97,6 +98,35 @@ def test_licenses(spark, data):
     assert of(rows, "n_words", "n_base", "first_word", "last_word", "base_labels") == {d: brute.licenses(t) for d, t in docs_of(spark, data, "text")}
     for r in rows:
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    # the templates' own labels, by one regular expression each
+    plain = [(label, brute.template_pattern(t)) for label, t in licenses.TEMPLATES]
+    found = {d: brute.template_labels(t, plain) for d, t in docs_of(spark, data, "text")}
+    assert {r.doc_id: ",".join(sorted(found[r.doc_id] | set(filter(None, r.base_labels.split(","))))) for r in rows} == of(rows, "labels") | {r.doc_id: r.labels for r in rows}
+    assert all((r.score == 1) == bool(found[r.doc_id]) for r in rows)
+
+
+def test_license_templates():
+    """Each template's wording is taken, with and without its optional regions, and not once a mandatory word is another."""
+    assert len(licenses.TEMPLATES) > 40
+    scan = licenses.TokenAutomaton(licenses.TEMPLATES).scan
+    plain = [(label, brute.template_pattern(t)) for label, t in licenses.TEMPLATES]
+    rng = random.Random(5)
+    words = lambda t: licenses.LICENSE_WORD.findall(t.lower())
+    for label, markup in licenses.TEMPLATES:
+        whole = words(re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(["acme"] * rng.randint(0, int(m[1]))), markup.replace("[[", "").replace("]]", "")))
+        bare, depth = re.sub(r"\{\{\d+\}\}", "", markup), True
+        while depth:
+            bare, depth = re.subn(r"\[\[[^\[\]]*\]\]", "", bare)
+        for given in (whole, words(bare)):
+            assert label in scan(["so", "it", "is", *given, "and", "so", "on"])[0], (label, given)
+            other = list(given)
+            other[rng.randrange(len(other))] = "otherwise"
+            for text in (given, other):
+                found, score = scan(text)
+                assert found == brute.template_labels(" ".join(text), plain) and (score == 1) == bool(found)
+    assert scan(words("Under the BSD 3-Clause License."))[0] == {"bsd-3-clause"}
+    assert scan(words("SPDX-License-Identifier: LGPL-2.1-or-later"))[0] == {"lgpl-2.1-or-later", "lgpl-2.1"}
+    assert scan(words("the rights to use it under some license"))[0] == set()
 
 
 def test_template_regions():
@@ -146,6 +176,7 @@ def test_language(spark, small):
     truth = dict(docs_of(spark, small, "lang"))
     held = [r for r in rows if r.held_out]
     assert 150 < len(held) < 350
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
     assert {r.lang_pred for r in rows} <= {"en", "fr", "de", "es", "und"}
 
@@ -199,6 +230,16 @@ def test_mixing(spark, data):
     sizes = {(r.source_size, r.target) for r in rows}
     assert abs(sum(t for _, t in sizes) - 1.5 * total) < 1e-6 * max(1, total) or len(sizes) < len({r[1] for r in docs_of(spark, data, "source")})
     assert sorted(rows, key=key)[0].doc_id == 0
+    # each source's words come near its target: at most two documents of its largest size away
+    source = dict(docs_of(spark, data, "source"))
+    taken, most = {}, {}
+    for r in rows:
+        if r.doc_id is not None:
+            s = source[r.doc_id]
+            taken[s, r.target] = taken.get((s, r.target), 0) + r.taken
+            most[s] = max(most.get(s, 0), r.size)
+    nulls = sum(2 * r.size for r in rows if r.doc_id is None)
+    assert all(abs(n - target) <= 2 * most[s] + nulls + 0.03 * target for (s, target), n in taken.items())
 
 
 def test_targets(spark):
@@ -274,7 +315,13 @@ def test_media(spark, data):
         want[d] = (len(raw), len(padded), brute.sha(padded))
     rows = queries.op10_png_media(spark, data).filter("doc_id is not null").collect()
     assert of(rows, "n_bytes", "payload_bytes", "payload_sha256") == want
-    assert all(len(r.feature) == 16 for r in rows)
+    files = {r.doc_id: r.media for r in media.encode_media(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    for r in rows:
+        payload = brute.png_samples(files[r.doc_id])
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), brute.sha(files[r.doc_id])) and brute.sha(payload) == r.payload_sha256
+        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+    for r in rows[:25]:
+        assert r.feature == brute.cosine_feature(brute.png_samples(files[r.doc_id]))
 
 
 def test_png_filters_and_damage():
