@@ -213,14 +213,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = SHINGLE) -> DataFrame:
     """df with one row of each group of linked documents: that of the least id. Rows without words or without an id stay; columns stay.
 
-    Rows that repeat an id are copies: one of them stays.
+    Rows that share an id with different texts are different documents: the least text hash decides between them. Rows that
+    repeat id and text are copies: one of them stays.
     """
-    found = jaccard_components(df, id_col, text_col, percent, size)
-    lost = found.filter(f"n_shingles > 0 and component_id <> `{id_col}`").select(F.col(id_col).alias("_lost")).distinct()
-    left = df.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
-    again = found.filter(f"n_shingles > 0 and `{id_col}` is not null").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = written(again.select("_again"))
+    texts = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.xxhash64(text_col)).alias("lo"), F.max(F.xxhash64(text_col)).alias("hi"), F.count(F.lit(1)).alias("n"))
+    again = written(texts.filter("n > 1"))
+    # the row travels as one column, so that no name of its columns can clash
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    if not again.filter("lo <> hi").isEmpty():
+        rows = rows.withColumn("_id", F.when(F.col("_id").isNotNull(), F.struct("_id", F.xxhash64("_text").alias("text_hash"))))
+    found = jaccard_components(rows, "_id", "_text", percent, size)
+    lost = found.filter("n_shingles > 0 and component_id <> _id").select(F.col("_id").alias("_lost")).distinct()
+    left = rows.join(lost, F.col("_id") == F.col("_lost"), "left_anti")
     if again.isEmpty():
-        return left
-    single = left.join(again, F.col(id_col) == F.col("_again"), "left_anti")
-    return single.unionByName(left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+        return left.select("_row.*")
+    repeats = written(found.filter("n_shingles > 0 and _id is not null").groupBy(F.col("_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"))
+    single = left.join(repeats, F.col("_id") == F.col("_again"), "left_anti")
+    once = left.join(repeats, F.col("_id") == F.col("_again"), "left_semi").dropDuplicates(["_id"])
+    return single.unionByName(once).select("_row.*")

@@ -110,6 +110,21 @@ def test_near_duplicate_stage_takes_five_words_at_80_percent(spark):
     assert {r.doc_id for r in left.collect()} == set(sets) - near
 
 
+def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
+    """One id for different texts, rows that repeat, null ids, column names that clash."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, c), (None, a), (3, None), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit("i"), "_row": F.lit("r"), "_lost": F.lit(1), "_text": F.lit("t")})
+    left = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert left.columns == df.columns
+    want = [(1, a), (1, b), (2, c), (None, a), (3, None), (4, ""), (4, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, want))
+    plain = corpus_pipeline.near_duplicate_stage(spark, df.filter("doc_id = 4 or doc_id = 2 and text <> '" + a + "'"), "")
+    assert sorted(r.doc_id for r in plain.collect()) == [2, 4, 4]
+
+
 def test_quality_limits_lines_alike_on_a_large_host(spark):
     """A footer in 1 % of a host's texts is as much boilerplate as in 21 of a small host's."""
     own, footer = F.concat(F.lit("own words number "), F.col("id")), "all rights reserved by the owners of this site"
