@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder that executors share (spark.checkpoint.dir; a folder is made only where none is set), read again."""
+    """df as Parquet in the folder that executors share (spark.checkpoint.dir; only a local session that names none gets one), read again."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/pass-{uuid.uuid4().hex}"

@@ -82,5 +82,8 @@ def alive(slides: Column, dead: Column) -> Column:
     return F.filter(slides, lambda s, i: ~F.array_contains(dead, i))
 
 
-def card_image(image: Column, hover: Column) -> Column:
-    return F.coalesce(image, hover)
+def card_image(image: Column, hover: Column, brand: Column, name: Column, dead: Column | None = None) -> Column:
+    """src and initial: the first of the two images that isn't among the dead ones; where none is left, the first letter of the brand, or of the name, stands for it."""
+    given = F.array_compact(F.array(image, hover))
+    src = F.get(given if dead is None else F.array_except(given, F.coalesce(dead, F.array().cast("array<string>"))), F.lit(0))
+    return F.struct(src.alias("src"), F.when(src.isNull(), F.left(F.coalesce(brand, name, F.lit("?")), F.lit(1))).alias("initial"))

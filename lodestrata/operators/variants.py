@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -53,6 +53,15 @@ def disabled(variants: Column, options: Column, chosen: Column, axis: Column, va
     return dense(variants, options) & ~F.exists(variants, lambda v: matches(v, then))
 
 
+def buttons(products: DataFrame, chosen: Column) -> DataFrame:
+    """id, axis, value, selected, disabled: a row for each value of each option. A selected value's button is never disabled."""
+    each = products.select("id", "variants", "options", chosen.alias("chosen"), F.explode("options").alias("option"))
+    each = each.select("id", "variants", "options", "chosen", F.col("option.name").alias("axis"), F.explode("option.values").alias("value"))
+    selected = F.coalesce(F.try_element_at("chosen", F.col("axis")) == F.col("value"), F.lit(False))
+    hidden = disabled(F.col("variants"), F.col("options"), F.col("chosen"), F.col("axis"), F.col("value"))
+    return each.select("id", "axis", "value", selected.alias("selected"), (~selected & hidden).alias("disabled"))
+
+
 def toggled(chosen: Column, axis: Column, value: Column) -> Column:
     """What is chosen after a click: the value, or nothing on the axis if it was chosen before."""
     again = F.coalesce(F.try_element_at(chosen, axis) == value, F.lit(False))

@@ -391,6 +391,23 @@ def value_disabled(spark, sf_dir):
     return rows.select("id", variants.disabled(v, o, _chosen(Flag="N"), F.lit("Status"), F.lit("F")).alias("disabled"), F.when(variants.dense(v, o), "Status").otherwise("").alias("axis"))
 
 
+@query(f"""WITH {_VARIANTS}, b AS (SELECT DISTINCT id, 'Flag' AS axis, flag AS value, flag AS f, 'F' AS s FROM v UNION ALL SELECT DISTINCT id, 'Status', status, 'R', status FROM v)
+    SELECT b.id, axis, value, value = CASE axis WHEN 'Flag' THEN 'R' ELSE 'F' END AS selected,
+    value <> CASE axis WHEN 'Flag' THEN 'R' ELSE 'F' END AND n / (nf * ns) >= 0.6 AND v.id IS NULL AS disabled
+    FROM b JOIN o ON o.id = b.id LEFT JOIN v ON v.id = b.id AND v.flag = b.f AND v.status = b.s""")
+def value_buttons(spark, sf_dir):
+    return variants.buttons(standins.variant_rows(spark, sf_dir), _chosen(Flag="R", Status="F"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1) AND p_partkey % 3 <> 0 THEN 'a.jpg' WHEN p_partkey % 5 IN (1, 2) THEN 'b.jpg' END AS src,
+    CASE WHEN NOT (p_partkey % 5 IN (0, 1) AND p_partkey % 3 <> 0) AND p_partkey % 5 NOT IN (1, 2) THEN left(CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END, 1) END AS initial FROM part""")
+def card_images(spark, sf_dir):
+    key = F.col("p_partkey")
+    image, hover = F.when((key % 5).isin(0, 1), "a.jpg"), F.when((key % 5).isin(1, 2), "b.jpg")
+    dead = F.when(key % 3 == 0, F.array(F.lit("a.jpg")))
+    return table(spark, sf_dir, "part").select("p_partkey", catalog.card_image(image, hover, F.when(key % 2 == 0, F.col("p_brand")), F.col("p_name"), dead).alias("card")).select("p_partkey", "card.*")
+
+
 # --- drafts ----------------------------------------------------------------------------------------
 
 
