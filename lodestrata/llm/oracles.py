@@ -35,4 +35,22 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS other FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(other) AS component_id FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n"""
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op4_ngram_join": NGRAM_JOIN}
+PHRASES = r"""
+WITH t AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+x AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM x GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 30),
+cut AS (SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS p1, array_to_string(ws[i + 1:], ' ') AS p2 FROM c, range(1, 4) s(i) WHERE i < k),
+sc AS (SELECT cut.lang, cut.phrase, a, i, f1.f AS l, f2.f AS r, (CAST(2000000 AS HUGEINT) * a) // (CAST(f1.f AS HUGEINT) + f2.f) AS score
+    FROM cut JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = p2),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, range(2, 4) s(m), range(1, 4) u(i) WHERE m < k AND i + m - 1 <= k),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM inside GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY, "op4_ngram_join": NGRAM_JOIN, "op13_phrases": PHRASES}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import language, licenses, line_dedup, media, mixing, ngram_join, pieces, quality, sharding, suffixes
-from lodestrata.llm.common import documents
+from lodestrata.llm import language, licenses, line_dedup, media, mixing, ngram_join, phrases, pieces, quality, runs, sharding, suffixes, tokens
+from lodestrata.llm.common import WORD, documents
 from lodestrata.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -69,5 +70,34 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_media(media.encode_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op9_suffix_dedup, op10_png_media)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a tenth of the documents, by a hash of their ids, become periodic from some word on
+    h, text, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.coalesce("text", F.lit("")), F.size
+    g = F.floor(h / 10)
 
+    def periodic(words: Column) -> Column:
+        first = g % n(words)
+        return F.array_join(runs.with_period(words, first, 1 + F.floor((n(words) - first) / (3 + g % 8))), " ")
+
+    # F.transform binds the words to a name, so that they are made once
+    made = F.when((h % 10 == 0) & text.rlike(WORD), F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), periodic)[0]).otherwise(text)
+    found = runs.periodic_runs(documents(spark, sf_dir), [F.col("doc_id")], made)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    model = tokens.load_model(model_path or public_tokenizers.path("byte_bpe_50k.json"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    found = tokens.token_counts(documents(spark, sf_dir), [F.col("doc_id"), size], F.col("text"), model)
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), F.col("text"), F.col("lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_license_scan, op4_ngram_join, op5_language_id, op6_sentencepiece, op7_mix_sources, op8_external_shuffle, op9_suffix_dedup, op10_png_media, op11_periodic_runs, op12_token_counts, op13_phrases)}

@@ -220,3 +220,41 @@ def cosine_feature(payload):
     low = [round(sum(half[u][x] * wave[v][x] for x in range(32)), 6) for u in range(8) for v in range(8)]
     middle = sorted(low[1:])[31]
     return f"{int(''.join('1' if i and v > middle else '0' for i, v in enumerate(low)), 2):016x}"
+
+
+def runs(words, least=12):
+    """(start, length, period) of the maximal stretches of length max(least, 2 period) or more, by start, then period."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def phrases(rows, least, percent, top):
+    """(lang, rank, phrase, a, l, r, n, score) of the best phrases of rows of (lang, text)."""
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(words)
+            counts.update((lang or "und", tuple(words[i : i + k])) for k in range(1, 5) for i in range(len(words) - k + 1))
+    candidates = {x: a for x, a in counts.items() if len(x[1]) >= 2 and a >= least}
+    longest = {}
+    for (lang, words), a in candidates.items():
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                longest[lang, words[i : i + k]] = max(longest.get((lang, words[i : i + k]), 0), a)
+    by = {}
+    for (lang, words), a in candidates.items():
+        if 100 * longest.get((lang, words), -1) < percent * a:
+            cuts = [(counts[lang, words[:k]], counts[lang, words[k:]], k) for k in range(1, len(words))]
+            score, _, l, r = min((2_000_000 * a // (l + r), k, l, r) for l, r, k in cuts)
+            by.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), l, r))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for lang, rows in by.items() for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top]))
