@@ -25,7 +25,7 @@ def without_query(url: Column) -> Column:
 
 def absolute(url: Column) -> Column:
     """A trimmed http(s) or scheme-relative URL, else null."""
-    url = F.trim(url)
+    url = F.regexp_replace(url, r"^[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+$", "")
     return F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).when(url.rlike("^https?://"), url)
 
 
@@ -90,6 +90,6 @@ def srcset(value: Column) -> Column:
     def entry(part: Column) -> Column:
         pieces = F.split(part, r"\s+")
         width = F.regexp_extract(F.coalesce(F.get(pieces, F.lit(1)), F.lit("")), r"^(\d+)w$", 1)
-        return F.struct(F.get(pieces, F.lit(0)).alias("url"), F.when(width != "", width.cast("int")).alias("width"))
+        return F.struct(F.get(pieces, F.lit(0)).alias("url"), width.try_cast("int").alias("width"))
 
     return F.transform(parts, entry)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import html, jsontree, text
 from lodestrata.functions.arrow import over_values
+from lodestrata.functions.materialize import materialized
 from lodestrata.operators import media
 
 
@@ -33,8 +34,30 @@ PRODUCT_TYPES = ("Product", "ProductGroup")
 
 
 def harvest(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, evidence: one parse for each page."""
-    return pages.select(F.col(id_col).alias("id"), html.html_evidence(F.coalesce(F.col(html_col), F.lit(""))).alias("evidence"))
+    """id, evidence: all that a page says of its product; the shape is schemas.EVIDENCE.
+
+    The parts are expressions over the page's nodes, so those that aren't selected are not worked out: titles alone cost a parse.
+    """
+    n = F.col("nodes")
+    base = pages.select(F.col(id_col).alias("id"), html.page_nodes(F.col(html_col)).alias("nodes"))
+    read = base.select(
+        "id", html.title(n).alias("title"), html.canonical(n).alias("canonical_url"), html.heading(n).alias("h1"), html.meta(n).alias("meta"), html.visible_text(n).alias("visible_text"),
+        html.ld_bodies(n).alias("ld"), html.script_bodies(n).alias("scripts"), html.page_sightings(n).alias("dom"),
+    )
+    solved = read.withColumns({"ld_trees": html.ld_blocks("ld"), "trees": html.script_trees("scripts")})
+    blobs, texts = html.script_channels(F.col("scripts"), F.col("trees"))
+    told = solved.withColumns({"blobs": blobs, "script_texts": texts, "json_ld": F.transform("ld_trees", lambda t: t["data"])})
+    json_blobs = F.transform("blobs", lambda b: F.struct(b["source"].alias("source"), b["score"].alias("score"), b["data"].alias("data")))
+    found = F.concat("dom", html.meta_sightings(F.col("meta")), html.tree_sightings(F.col("ld_trees"), "json_ld"), html.tree_sightings(F.col("blobs"), "blob"))
+    evidence = F.struct("json_ld", "meta", "title", "canonical_url", "h1", json_blobs.alias("json_blobs"), "script_texts", "visible_text", media.in_order(found).alias("sightings"))
+    return told.select("id", evidence.alias("evidence"))
+
+
+def sightings(harvested: DataFrame) -> DataFrame:
+    """page, seq, url, kind, origin, width, path_hint: a row for each of a page's media URLs."""
+    # outer, as else a filter on the array's size would be inferred that makes the array a second time
+    each = harvested.select(F.col("id").alias("page"), F.explode_outer("evidence.sightings").alias("m")).select("page", "m.*")
+    return media.merged_sightings(each.filter("url is not null"))
 
 
 def _nodes(tree) -> list[dict]:
@@ -82,7 +105,7 @@ def waterfall(parts: Column, budget: int, least_left: int) -> Column:
 
 def distill(harvested: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
     """id, context, identity, images, videos, evidence: what a drafter reads of each page."""
-    e = F.col("evidence")
+    e, harvested = F.col("evidence"), materialized(harvested)
     identity = text.identity_tokens(e["h1"], F.try_element_at(e["meta"], F.lit("og:title")), e["title"])
     base = harvested.withColumn("identity", identity).withColumn("_flat", ld_nodes(F.concat(F.lit("["), F.array_join(e["json_ld"], ","), F.lit("]"))))
     blobs = F.slice(e["json_blobs"], 1, budgets.n_blobs)
@@ -91,9 +114,8 @@ def distill(harvested: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
     ld = anchored_ld(F.col("_flat"), F.col("identity"))
     base = base.withColumn("_ld", over_values(_ld_texts, "string")(F.concat(F.lit("["), F.array_join(F.transform(ld, lambda n: n["data"]), ","), F.lit("]"))))
 
-    seen = base.select(F.col("id").alias("page"), F.explode(e["media"]).alias("m")).select("page", "m.*")
-    stems = base.select(F.col("id").alias("page"), media.heroes(e["meta"]).alias("stems"))
-    shown = media.per_page(media.ranked(seen, stems, budgets.images, budgets.videos)).withColumnRenamed("page", "id")
+    stems = harvested.select(F.col("id").alias("page"), media.heroes(e["meta"]).alias("stems"))
+    shown = media.per_page(media.ranked(sightings(harvested), stems, budgets.images, budgets.videos)).withColumnRenamed("page", "id")
     base = base.join(shown, "id", "left")
 
     meta_lines = F.array_join(F.transform(F.map_entries(e["meta"]), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import text, urls
+from lodestrata.functions import html, text, urls
 
 # Fixed values.
 MOST_IMAGES, MOST_VIDEOS = 40, 5
 ENOUGH_CLEAN = ENOUGH_BOOSTED = 3
 MOST_SPREAD = 3
-HERO_KEYS = ("og:image", "og:image:secure_url", "twitter:image")
 
 
 def paths_of(hints: Column) -> Column:
@@ -33,16 +32,38 @@ def tag(origin: Column, hints: Column) -> Column:
 
 
 def heroes(meta: Column) -> Column:
-    return urls.hero_stems(*(F.try_element_at(meta, F.lit(k)) for k in HERO_KEYS))
+    return urls.hero_stems(*(F.try_element_at(meta, F.lit(k)) for k in html.HERO_KEYS))
+
+
+def in_order(found: Column) -> Column:
+    """Sightings with absolute URLs and without noise, each sized image followed by its query-free twin; seq is their order."""
+    own = F.filter(F.transform(found, lambda s: s.withField("url", urls.absolute(s["url"]))), lambda s: s["url"].isNotNull() & ~urls.is_noise(s["url"]))
+
+    def with_twin(s: Column) -> Column:
+        twin = F.when(s["kind"] == "image", urls.sized_twin(s["url"]))
+        made = F.struct(twin.alias("url"), s["kind"].alias("kind"), s["origin"].alias("origin"), F.lit(None).cast("int").alias("width"), F.lit("").alias("path_hint"))
+        return F.filter(F.array(s, made), lambda x: x["url"].isNotNull())
+
+    fields = ("url", "kind", "origin", "width", "path_hint")
+    return F.transform(F.flatten(F.transform(own, with_twin)), lambda s, i: F.struct(i.cast("int").alias("seq"), *(s[f].alias(f) for f in fields)))
+
+
+def _joined_hints(seen: Column) -> Column:
+    """Key paths in their order, without those that stand in what is joined so far."""
+    take = lambda out, s: F.when(F.contains(out, s["path_hint"]), out).otherwise(F.trim(F.concat(out, F.lit(" "), s["path_hint"])))
+    return F.aggregate(F.filter(seen, lambda s: s["path_hint"] != ""), F.lit(""), take)
 
 
 def merged_sightings(sightings: DataFrame) -> DataFrame:
-    """One row for each page and URL: first kind and origin, greatest width, all key paths in order. sightings: page, seq, url, kind, origin, width, path_hint."""
-    hints = F.transform(F.array_sort(F.collect_list(F.struct("seq", "path_hint"))), lambda x: x["path_hint"])
-    return sightings.groupBy("page", "url").agg(
-        F.min_by("kind", "seq").alias("kind"), F.min_by("origin", "seq").alias("origin"), F.max("width").alias("width"),
-        F.trim(F.array_join(F.array_distinct(hints), " ")).alias("path_hint"), F.min("seq").alias("seq"),
-    )
+    """One row for each page and URL: first kind and origin, greatest width, all key paths in order. sightings: page, seq, url, kind, origin, width, path_hint.
+
+    A twin (see in_order) of a URL that is seen anyway adds nothing, as it has neither width nor path, so twins need no second look.
+    """
+    seen = F.array_sort(F.collect_list(F.struct("seq", "kind", "origin", "width", F.coalesce("path_hint", F.lit("")).alias("path_hint"))))
+    wide = F.max(F.when(F.col("width") > 0, F.col("width")))
+    found = sightings.groupBy("page", "url").agg(seen.alias("seen"), wide.alias("wide"))
+    first = F.get("seen", F.lit(0))
+    return found.select("page", "url", first["kind"].alias("kind"), first["origin"].alias("origin"), F.coalesce("wide", first["width"]).alias("width"), _joined_hints(F.col("seen")).alias("path_hint"), first["seq"].alias("seq"))
 
 
 def ranked(candidates: DataFrame, stems: DataFrame | None = None, images: int = MOST_IMAGES, videos: int = MOST_VIDEOS) -> DataFrame:
@@ -52,12 +73,13 @@ def ranked(candidates: DataFrame, stems: DataFrame | None = None, images: int =
     go where enough others are left; where enough are boosted by a selected path, unboosted structured ones go.
     Adds asset, demoted, boosted, stem_hits, spread, rank (from 0, in the order of relevance, ties by seq).
     """
-    base = candidates.withColumn("asset", urls.asset_key(F.col("url"))).withColumn("quality", urls.quality(F.col("url"), F.col("origin"), F.col("width")))
+    # all that follows is grouped by page: rows are dealt by it once
+    base = candidates.repartition("page").withColumn("asset", urls.asset_key(F.col("url"))).withColumn("quality", urls.quality(F.col("url"), F.col("origin"), F.col("width")))
     in_order = F.array_sort(F.collect_list(F.struct("seq", "path_hint")))
     hints = F.array_join(F.transform(in_order, lambda x: F.coalesce(x["path_hint"], F.lit(""))), " ")
     best = F.max_by(F.struct("url", "origin", "width", "path_hint", "quality"), F.struct("quality", (-F.col("seq")).alias("first")))
     groups = base.groupBy("page", "kind", "asset").agg(
-        hints.alias("hints"), F.least(F.count_distinct("origin"), F.lit(MOST_SPREAD)).alias("spread"), F.bool_and(F.col("origin").isin("blob", "json_ld")).alias("structured"),
+        hints.alias("hints"), F.least(F.size(F.collect_set("origin")), F.lit(MOST_SPREAD)).alias("spread"), F.bool_and(F.col("origin").isin("blob", "json_ld")).alias("structured"),
         best.alias("best"), F.min("seq").alias("seq"),
     )
     groups = groups.withColumn("demoted", only_related(F.col("hints"))).withColumn("boosted", F.lower("hints").rlike(text.SELECTED_PATH))

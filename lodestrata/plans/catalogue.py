@@ -44,8 +44,8 @@ _WITHOUT_REPEATS = "array_to_string(list_filter({0}, lambda x, i: i = 1 OR x <>
 @query(f"""SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
     trim({_UNESCAPED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}) AS h1 FROM pages""")
 def page_identity(spark, sf_dir):
-    found = distill.harvest(table(spark, sf_dir, "pages"), "page_id", "html")
-    return found.select(F.col("id").alias("page_id"), F.col("evidence.title").alias("title"), F.col("evidence.h1").alias("h1"))
+    nodes = table(spark, sf_dir, "pages").select("page_id", html.page_nodes(F.col("html"), "title", "h1").alias("nodes"))
+    return nodes.select("page_id", html.title(F.col("nodes")).alias("title"), html.heading(F.col("nodes")).alias("h1"))
 
 
 _CHROME = "|".join(f"<{t}\\b.*?</{t}>" for t in ("script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "aside"))
@@ -54,7 +54,8 @@ _CHROME = "|".join(f"<{t}\\b.*?</{t}>" for t in ("script", "style", "noscript",
 @query(f"""WITH t AS (SELECT page_id, {_LINES.format(_UNESCAPED.format(f"regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '{_CHROME}', chr(10), 'gis'), '<[^>]*>', chr(10), 'g')"))} AS ls FROM pages)
     SELECT page_id, length({_WITHOUT_REPEATS.format("ls")}) AS n_chars, md5({_WITHOUT_REPEATS.format("ls")}) AS digest FROM t""")
 def visible_text(spark, sf_dir):
-    shown = table(spark, sf_dir, "pages").select("page_id", html.html_visible_text("html").alias("t"))
+    nodes = table(spark, sf_dir, "pages").select("page_id", html.page_nodes(F.col("html")).alias("nodes"))
+    shown = nodes.select("page_id", html.visible_text(F.col("nodes")).alias("t"))
     return shown.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
@@ -121,11 +122,43 @@ def jsonld_products(spark, sf_dir):
     return found.select(F.col("id").alias("page_id"), "f.name", "f.brand", F.round("f.price", 2).alias("price"), F.size("f.image_urls").cast("long").alias("n_images"), F.size(nodes).cast("long").alias("n_nodes"))
 
 
-@query()
+_SHOWN = f"""t AS (SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+    {_LINES.format(_UNESCAPED.format(f"regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '{_CHROME}', chr(10), 'gis'), '<[^>]*>', chr(10), 'g')"))} AS ls FROM pages)"""
+
+
+@query(f"WITH {_SHOWN} SELECT page_id, title, CAST(0 AS BIGINT) AS n_ld, CAST(0 AS BIGINT) AS n_media, length({_WITHOUT_REPEATS.format('ls')}) AS n_visible FROM t")
 def html_evidence(spark, sf_dir):
     e = F.col("evidence")
     found = distill.harvest(table(spark, sf_dir, "pages"), "page_id", "html")
-    return found.select(F.col("id").alias("page_id"), e["title"].alias("title"), F.size(e["json_ld"]).alias("n_ld"), F.size(e["media"]).alias("n_media"), F.length(e["visible_text"]).alias("n_visible"))
+    media_urls = F.array_distinct(F.transform(e["sightings"], lambda s: s["url"]))
+    counts = {"n_ld": F.size(e["json_ld"]), "n_media": F.size(media_urls), "n_visible": F.length(e["visible_text"])}
+    return found.select(F.col("id").alias("page_id"), e["title"].alias("title"), *(c.cast("long").alias(n) for n, c in counts.items()))
+
+
+@query("""SELECT 'p' || p_partkey AS page_id, 'https://shop.example.com/' || p_partkey AS canonical, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS ld_name, 'state' AS source, round(4 / sqrt(6), 6) AS score,
+    CAST(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_texts,
+    p_name || chr(10) || '[View of ' || p_brand || ']' || chr(10) || '[Clip]' || chr(10) || 'Costs ' || p_partkey || chr(10) || '[Price note]' || chr(10) || 'Costs ' || p_partkey AS shown FROM part""")
+def page_channels(spark, sf_dir):
+    e = F.col("evidence")
+    found = distill.harvest(standins.rich_pages(spark, sf_dir), "page_id", "html")
+    best = F.get(e["json_blobs"], F.lit(0))
+    return found.select(
+        F.col("id").alias("page_id"), e["canonical_url"].alias("canonical"), F.get_json_object(F.get(e["json_ld"], F.lit(0)), "$.name").alias("ld_name"), best["source"].alias("source"),
+        F.round(best["score"], 6).alias("score"), F.size(e["script_texts"]).cast("long").alias("n_texts"), e["visible_text"].alias("shown"),
+    )
+
+
+_SEEN = """(VALUES (0, 'a.jpg?w=64', 'image', 'dom', 32, ''), (1, 'a.jpg', 'image', 'dom', 640, '.image .product.image'), (2, 'd.webp', 'image', 'dom', NULL, ''), (3, 'e.jpg', 'image', 'dom', NULL, ''),
+    (4, 'v.webm', 'video', 'dom', NULL, ''), (5, 'v.mp4', 'video', 'dom', NULL, ''), (6, 'hero.jpg?quality=80', 'image', 'meta', NULL, ''), (7, 'hero.jpg', 'image', 'meta', NULL, ''),
+    (8, 'b.jpg?w=100', 'image', 'json_ld', NULL, '.image'), (9, 'b.jpg', 'image', 'json_ld', NULL, ''), (10, 'c.png?width=5', 'image', 'blob', NULL, '.product.gallery.image'), (11, 'c.png', 'image', 'blob', NULL, '')) v(i, u, kind, origin, width, hint)"""
+
+
+@query(f"""SELECT 'p' || p_partkey AS page, 'https://img.example.com/r/' || p_partkey || '/' || u AS url, kind, origin, width, CASE WHEN p_partkey % 11 = 0 AND i = 1 THEN '.product.image' ELSE hint END AS path_hint,
+    CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS BIGINT) AS place FROM part, {_SEEN} WHERE p_partkey % 11 <> 0 OR origin <> 'json_ld'""")
+def page_media(spark, sf_dir):
+    seen = distill.sightings(distill.harvest(standins.rich_pages(spark, sf_dir), "page_id", "html"))
+    place = F.row_number().over(standins.Window.partitionBy("page").orderBy("seq")) - 1
+    return seen.select("page", "url", "kind", "origin", "width", "path_hint", place.cast("long").alias("place"))
 
 
 @query()
@@ -255,10 +288,11 @@ def media_listing(spark, sf_dir):
     return shown.select("page", F.size("images").cast("long").alias("n_images"), F.size("videos").cast("long").alias("n_videos"), plain.alias("listing"))
 
 
-@query(f"""WITH m AS ({_MEDIA}) SELECT page, url, min_by(kind, seq) AS kind, min_by(origin, seq) AS origin, max(width) AS width, CAST(count(DISTINCT hint) AS BIGINT) AS n_hints, CAST(min(seq) AS BIGINT) AS seq FROM m GROUP BY page, url""")
+@query(f"""WITH m AS ({_MEDIA}), h AS (SELECT page, url, hint, min(seq) AS first_seq FROM m GROUP BY ALL), j AS (SELECT page, url, string_agg(hint, ' ' ORDER BY first_seq) AS path_hint FROM h GROUP BY ALL)
+    SELECT page, url, min_by(kind, seq) AS kind, min_by(origin, seq) AS origin, max(width) AS width, any_value(path_hint) AS path_hint, CAST(min(seq) AS BIGINT) AS seq FROM m JOIN j USING (page, url) GROUP BY page, url""")
 def media_merge(spark, sf_dir):
     merged = media.merged_sightings(standins.media_rows(spark, sf_dir))
-    return merged.select("page", "url", "kind", "origin", "width", F.size(media.paths_of(F.col("path_hint"))).cast("long").alias("n_hints"), F.col("seq").cast("long").alias("seq"))
+    return merged.select("page", "url", "kind", "origin", "width", "path_hint", F.col("seq").cast("long").alias("seq"))
 
 
 # --- search ----------------------------------------------------------------------------------------

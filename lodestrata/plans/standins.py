@@ -98,6 +98,24 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("page_id"), html.alias("html"))
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, html: a page for each part that speaks in all channels; structured data plain, in CDATA, escaped or broken, by the key."""
+    part = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    lit, host = F.lit, f"{HOST}/r/"
+    ld = F.concat(lit('{"@type":"Product","name":"'), F.col("p_name"), lit(f'","image":["{host}'), n, lit(f'/a.jpg","//{host[8:]}'), n, lit('/b.jpg?w=100"]}'))
+    told = F.when(k % 11 == 0, lit("{broken")).when(k % 3 == 1, F.concat(lit(" <![CDATA["), ld, lit("]]> "))).when(k % 3 == 2, F.replace(ld, lit('"'), lit("&quot;"))).otherwise(ld)
+    state = F.concat(lit('window.state = {"product":{"sku":"'), n, lit(f'","price":1,"image":"{host}'), n, lit(f'/a.jpg","gallery":{{"image":"{host}'), n, lit('/c.png?width=5"}},"filler":"' + "x" * 600 + '"};'))
+    parts = [
+        "<title>", F.col("p_name"), f'</title><link rel="alternate"><link rel="nofollow Canonical canonical" href=" https://shop.example.com/', n, f' "><meta property="og:image" content="{host}', n,
+        '/hero.jpg?quality=80"><script type="application/ld+json">', told, '</script><script id="state">', state, "</script><script>", F.when(k % 4 == 0, lit("price sku variant image product currency " * 9)).otherwise("short"),
+        "</script><nav>Menu</nav><h1>", F.col("p_name"), f'</h1><img src="{host}', n, f'/a.jpg?w=64" data-src="//{host[8:]}', n, f'/d.webp" srcset="{host}', n, f'/a.jpg 640w, {host}', n, f'/a.jpg?w=64 32w,{host}', n,
+        '/e.jpg 2x" aria-label="ab" alt="View of ', F.col("p_brand"), '" title="View of ', F.col("p_brand"), f'"><video src="{host}', n, f'/v.mp4" aria-label="Clip"><source type="video/webm" src="{host}', n,
+        f'/v.webm"></video><p title="Price note">Costs ', n, f'<p>Costs ', n, f'<div role="banner">Top<img src="{host}', n, '/1x1.gif"></div><footer>Legal',
+    ]
+    return part.select(F.concat(lit("p"), n).alias("page_id"), F.concat(*(lit(x) if isinstance(x, str) else x for x in parts)).alias("html"))
+
+
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path: kinds of parts, three levels deep, and the top levels."""
     part = table(spark, sf_dir, "part")

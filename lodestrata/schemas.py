@@ -5,7 +5,7 @@ BLOB = "struct<source:string,score:double,data:string>"
 SCRIPT = "struct<score:double,text:string>"
 EVIDENCE = (
     f"struct<json_ld:array<string>,meta:map<string,string>,title:string,canonical_url:string,h1:string,"
-    f"json_blobs:array<{BLOB}>,script_texts:array<{SCRIPT}>,visible_text:string,media:array<{MEDIA}>>"
+    f"json_blobs:array<{BLOB}>,script_texts:array<{SCRIPT}>,visible_text:string,sightings:array<{MEDIA}>>"
 )
 SELECTION = "struct<name:string,value:string>"
 OPTION = "struct<name:string,values:array<string>>"

@@ -39,7 +39,6 @@ def test_keys(spark):
 
 def test_density_and_score(spark):
     assert round(value(spark, text.keyword_density(lit("product price sku image"))), 2) == round(4 / __import__("math").log(33), 2) == 1.14
-    assert round(jsontree.commerce_score({"product": {"price": 1, "sku": 2}}), 2) == 1.73
     assert value(spark, text.commerce_score(F.array().cast("array<string>"))) == 0.0
 
 
@@ -68,7 +67,7 @@ def test_asset_key(spark):
 
 def test_srcset_and_kinds(spark):
     got = value(spark, urls.srcset(lit("a.jpg 640w, , b.jpg 2x,c.jpg")))
-    assert [(r.url, r.width) for r in got] == [("a.jpg", 640), ("b.jpg", None), ("c.jpg", None)] == html.srcset("a.jpg 640w, , b.jpg 2x,c.jpg")
+    assert [(r.url, r.width) for r in got] == [("a.jpg", 640), ("b.jpg", None), ("c.jpg", None)]
     assert [value(spark, urls.media_kind(lit(u))) for u in ("x.mp4?a", "x.JPG", "/is/image/y", "x.pdf")] == ["video", "image", "image", None]
     assert value(spark, urls.sized_twin(lit("http://a/b.png?w=3"))) == "http://a/b.png" and value(spark, urls.sized_twin(lit("http://a/b?w=3"))) is None
 
@@ -82,15 +81,71 @@ PAGE = """<html><head><title> Drill </title><link rel="canonical" href=" https:/
 <img src="https://s.com/1x1.gif"><video src="https://s.com/v.mp4"></video><footer>Legal</footer></body></html>"""
 
 
-def test_evidence():
-    e = html.evidence(PAGE)
+def test_evidence(spark):
+    harvested = distill.harvest(spark.createDataFrame([(1, PAGE)], "page_id long, html string"), "page_id", "html")
+    e = harvested.first().evidence
     assert (e["title"], e["canonical_url"], e["h1"]) == ("Drill", "https://s.com/d", "Big Drill")
-    assert dict(e["meta"]) == {"og:title": "First"} and len(e["json_ld"]) == 1
+    assert e["meta"] == {"og:title": "First"} and len(e["json_ld"]) == 1
     assert e["visible_text"] == "Drill\nBig\nDrill\nOne\nTwo\n[Front]"
-    assert [(m["url"], m["origin"], m["width"]) for m in e["media"]] == [
+    seen = distill.sightings(harvested).orderBy("seq").collect()
+    assert [(m["url"], m["origin"], m["width"]) for m in seen] == [
         ("https://s.com/img/a.jpg", "dom", 800), ("https://s.com/v.mp4", "dom", None), ("https://s.com/img/b.jpg?w=100", "json_ld", None), ("https://s.com/img/b.jpg", "json_ld", None),
     ]
-    assert e["media"][0]["path_hint"] == ".@graph.image"
+    assert seen[0]["path_hint"] == ".@graph.image"
+
+
+def test_nodes_are_intervals(spark):
+    page = "<div><p>a<p>b <b>c</b></div><ul><li>x<li>y</ul><br/>z<svg/></i>"
+    nodes = html.parse(page)
+    assert [n["pos"] for n in nodes] == list(range(len(nodes)))
+    inside = lambda n: "".join(m["text"] or "" for m in nodes[n["pos"] : n["last"] + 1])
+    assert [(n["tag"], inside(n)) for n in nodes if n["tag"]] == [("div", "ab c"), ("p", "a"), ("p", "b c"), ("b", "c"), ("ul", "xy"), ("li", "x"), ("li", "y"), ("br", ""), ("svg", "")]
+    some = html.parse(page, frozenset({"b", "ul"}))
+    assert [(n["pos"], n["last"], n["tag"], n["text"]) for n in some] == [(0, 1, "b", None), (1, 1, None, "c"), (2, 6, "ul", None), (3, 4, "li", None), (4, 4, None, "x"), (5, 6, "li", None), (6, 6, None, "y")]
+
+
+def test_visible_text_and_labels(spark):
+    pages = {
+        "<nav>n<aside>a</aside>m</nav>one<div role=navigation>r<p>s</div>two<footer>f": "one\ntwo",
+        '<a title="More info" aria-label="More info">go<img alt="The view"></a>end<i title="ab">x</i>': "go\n[The view]\n[More info]\nend\nx",
+        '<p aria-label="one two" alt="three">a\x85b</p><script>var x</script>': "a\nb\n[one two | three]",
+        "<header><nav>x</nav></header><p>a</p><p>a</p>  <p>\u00a0a </p>b\nb": "a\nb",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in pages.items()], "html string, want string").select("want", html.page_nodes(F.col("html")).alias("n"))
+    for want, got in df.select("want", html.visible_text(F.col("n"))).collect():
+        assert got == want
+
+
+def test_script_channels(spark):
+    big = lambda **x: json.dumps(x | {"filler": "x" * 600})
+    page = f"""<script>short {{"price":1}}</script><script id=state>window.a = {big(price=1, other=2)};</script><script type="application/JSON">{big(sku=1, price=2)}</script>
+    <script>{"product price sku variant " * 20}</script><script>{"nothing of note " * 30}</script><script>var e = "price product sku"; x = {big(nope=1)}; {"price " * 99}</script>"""
+    e = distill.harvest(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html").first().evidence
+    assert [(b.source, round(b.score, 3), json.loads(b.data)["price"]) for b in e.json_blobs] == [("application/json", 1.155, 2), ("state", 0.577, 1)]
+    assert [t.text[:7] for t in e.script_texts] == ["var e =", "product"] and e.script_texts[0].score > e.script_texts[1].score
+
+
+def test_media_of_all_channels(spark):
+    page = """<meta property="og:image" content="//h.com/hero.jpg"><meta name="og:video" content="https://h.com/v.mp4"><meta name="twitter:image" content="https://h.com/a.jpg">
+    <img src="https://h.com/a.jpg?w=10" data-src=" //h.com/b.png " data-srcset="https://h.com/a.jpg 99999999999w, https://h.com/c.jpg 300w, https://h.com/a.jpg?w=10 80w">
+    <source type="video/mp4" src="https://h.com/w.mp4?w=1" srcset="https://h.com/d.jpg 2x"><source srcset="https://h.com/e.webp 5w">
+    <link rel="x preload" as="image" href="https://h.com/f.jpg?q=7"><link rel="preload" as="script" href="https://h.com/no.jpg"><video src="https://h.com/x.webm"></video>
+    <img src="/rel.jpg"><img src="https://h.com/pixel.gif"><img src="https://h.com/i.svg"><img src="https://h.com/track/z.jpg">
+    <script type="application/ld+json">{"image": "https://h.com/a.jpg", "product": {"image": ["https://h.com/a.jpg", "https://h.com/g.jpg"], "images": "https://h.com/a.jpg"}}</script>"""
+    found = distill.sightings(distill.harvest(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html")).orderBy("seq").collect()
+    h = "https://h.com/"
+    assert [(r.url, r.kind, r.origin, r.width, r.path_hint) for r in found] == [
+        (h + "a.jpg?w=10", "image", "dom", 80, ""), (h + "a.jpg", "image", "dom", None, ".image .product.image .product.images"), (h + "b.png", "image", "dom", None, ""), (h + "c.jpg", "image", "dom", 300, ""),
+        (h + "w.mp4?w=1", "video", "dom", None, ""), (h + "d.jpg", "video", "dom", None, ""), (h + "e.webp", "image", "dom", 5, ""), (h + "f.jpg?q=7", "image", "dom", None, ""), (h + "f.jpg", "image", "dom", None, ""),
+        (h + "x.webm", "video", "dom", None, ""), (h + "hero.jpg", "image", "meta", None, ""), (h + "v.mp4", "video", "meta", None, ""), (h + "g.jpg", "image", "json_ld", None, ".product.image"),
+    ]
+
+
+def test_hints_that_stand_in_others(spark):
+    rows = [(1, i, "u", "image", "dom", w, h) for i, (w, h) in enumerate([(None, ".product.image"), (0, ".image"), (5, ".image.x"), (3, None), (None, ".product")])] + [(1, 9, "v", "image", "dom", 0, "")]
+    got = media.merged_sightings(spark.createDataFrame(rows, "page int, seq int, url string, kind string, origin string, width int, path_hint string")).orderBy("seq").collect()
+    assert [(r.path_hint, r.width) for r in got] == [(".product.image .image.x", 5), ("", 0)]
 
 
 def test_evidence_of_odd_pages(spark):
