@@ -71,11 +71,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns, and piece_ids, n_pieces, and whether the pieces decode to the text."""
+    """The documents' columns, and piece_ids, n_pieces, and whether the pieces decode to the text (round_trip); columns of docs
+    with one of these names keep it, and the new one gets a longer name.
+    """
     model = pieces.load_model()
-    coded = pieces.encode_pieces(docs, model)
-    back = pieces.decode_pieces(coded, model, out_col="_decoded")
-    return back.select(*coded.columns, F.size("piece_ids").cast("long").alias("n_pieces"), F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    ids, count, same, decoded = (free_name(docs, name) for name in ("piece_ids", "n_pieces", "round_trip", "decoded"))
+    back = pieces.decode_pieces(pieces.encode_pieces(docs, model, out_col=ids), model, ids_col=ids, out_col=decoded)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return back.select(*own, ids, F.size(ids).cast("long").alias(count), F.col(decoded).eqNullSafe(F.col("text")).alias(same))
 
 
 STAGES = [

@@ -131,10 +131,11 @@ def repeated(df: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFram
 
     Rows with the same id share the copies of the one that has most.
     """
-    plan = plan.groupBy(F.col(id_col).alias("_plan_id")).agg(F.max("copies").alias("_plan_copies"))
-    joined = df.join(plan, F.col(id_col).eqNullSafe(F.col("_plan_id")))
-    copies = F.array_repeat(F.lit(1), F.col("_plan_copies").cast("int"))
-    return joined.withColumn("_plan_one", F.explode(copies)).select(*(F.col(f"`{c}`") for c in df.columns))
+    plan = plan.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
+    # the row travels as one column, so that no name of its columns can clash
+    rows = df.select(F.col(id_col).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    joined = rows.join(plan, F.col("_key").eqNullSafe(F.col("_id")))
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:

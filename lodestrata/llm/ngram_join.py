@@ -150,6 +150,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
         shingles, kept = Shingler(size), {}
 
         def sets(of, text: str) -> np.ndarray:
+            of = tuple(of.values()) if isinstance(of, dict) else of
             if of not in kept:
                 if len(kept) > 2000:
                     kept.clear()
@@ -172,8 +173,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents link when percent of their sets' union is in the intersection. component_id is the least id reachable by
     links, its own included. Documents without words have size 0 and link with nothing, equal ones included;
     texts under `size` words are one shingle. A null id keeps its row and is never a component of others.
+    Rows that share an id are one document to links, whatever their texts: what any of them links to is reachable from all.
     Rows that repeat get equal results. Empty tables give empty tables; other columns are not read.
     """
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if not _with_different_texts(rows):
+        return _row_components(rows, "_id", "_text", percent, size).withColumnRenamed("_id", id_col)
+    # each text of an id is joined by itself, then what an id's texts belong to is united
+    apart = rows.withColumn("_id", F.when(F.col("_id").isNotNull(), F.struct("_id", F.xxhash64("_text").alias("text_hash"))))
+    found = written(_row_components(apart, "_id", "_text", percent, size).select(F.col("_id._id").alias("_id"), "n_shingles", F.col("component_id._id").alias("_near")))
+    links = found.filter("_near <> _id").select(F.col("_id").alias("a"), F.col("_near").alias("b")).distinct()
+    groups = components(links).withColumnsRenamed({"id": "_member", "component": "_least"})
+    joined = found.join(groups, F.col("_id") == F.col("_member"), "left")
+    return joined.select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("_least", "_id").alias("component_id"))
+
+
+def _with_different_texts(rows: DataFrame) -> bool:
+    """Whether an id has more than one text."""
+    digest = F.coalesce(F.xxhash64("_text"), F.lit(0))
+    each = rows.filter("_id is not null").groupBy("_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    return not each.filter("lo <> hi").isEmpty()
+
+
+def _row_components(df: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """jaccard_components() where no id has more than one text."""
     sets = written(_prefixes(df, id_col, text_col, percent, size))
     by_key = sets.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"))
     reps = sets.join(by_key.select(F.col("rep").alias("_id"), F.col("key").alias("key2")), "_id").filter("key = key2").dropDuplicates(["_id", "key"]).select("_id", "n", "p1", "p2", "p3")
@@ -222,7 +245,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
     if not again.filter("lo <> hi").isEmpty():
         rows = rows.withColumn("_id", F.when(F.col("_id").isNotNull(), F.struct("_id", F.xxhash64("_text").alias("text_hash"))))
-    found = jaccard_components(rows, "_id", "_text", percent, size)
+    found = _row_components(rows, "_id", "_text", percent, size)
     lost = found.filter("n_shingles > 0 and component_id <> _id").select(F.col("_id").alias("_lost")).distinct()
     left = rows.join(lost, F.col("_id") == F.col("_lost"), "left_anti")
     if again.isEmpty():

@@ -129,22 +129,32 @@ def _left_lines(text: Column, hashes: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(normalised(x)))), "\n")
 
 
-def without_frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """df with lines above the limits taken out of its texts, and a column `_removed_words`; rows and other columns stay."""
-    names = [c for c in df.columns if c != "_removed_words"]
-    found = frequent_lines(df, host_col, text_col).select(F.col("_host").alias("_found_host"), F.col("_key").alias("_found_key"), F.col("_hashes").alias("_found_hashes"), F.col("_removed").alias("_found_words"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = df.join(found, F.col(host_col).eqNullSafe(F.col("_found_host")) & (key == F.col("_found_key")), "left")
-    text = F.when(F.col("_found_key").isNull(), F.col(text_col)).otherwise(_left_lines(F.col(text_col), F.col("_found_hashes")))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), F.coalesce("_found_words", F.lit(0)).cast("long").alias("_removed_words"))
+def _cleaned(df: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """_row (the other columns, as one, so that no name can clash), _input, _text without lines above the limits, _removed_words."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    rows = df.select(F.struct(*others, F.lit(None).alias("_")).alias("_row"), F.col(host_col).alias("_host"), F.col(text_col).alias("_input"))
+    found = frequent_lines(df, host_col, text_col).select(F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_hashes", "_removed")
+    joined = rows.join(found, F.col("_host").eqNullSafe(F.col("_host2")) & (F.xxhash64(F.coalesce("_input", F.lit(""))) == F.col("_key2")), "left")
+    text = F.when(F.col("_key2").isNull(), F.col("_input")).otherwise(_left_lines(F.col("_input"), F.col("_hashes")))
+    return joined.select("_row", "_input", text.alias("_text"), F.coalesce("_removed", F.lit(0)).cast("long").alias("_removed_words"))
+
+
+def _columns(df: DataFrame, text_col: str) -> list[Column]:
+    """The columns of df from _row and _text."""
+    return [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns]
+
+
+def without_frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", removed_col: str = "_removed_words") -> DataFrame:
+    """df with lines above the limits taken out of its texts, and a column of how many words went; rows and other columns stay (one of that name is replaced)."""
+    found = _cleaned(df.drop(removed_col), host_col, text_col)
+    return found.select(*_columns(df.drop(removed_col), text_col), F.col("_removed_words").alias(removed_col))
 
 
 def kept_documents(df: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of df that quality_rules() keeps, without the lines above the limits; columns stay.
+    """The rows of df that quality_rules() keeps, without the lines above the limits; columns stay, whatever their names.
 
     The figures that decide are those of the input text.
     """
-    cleaned = without_frequent_lines(df.withColumn("_input", F.col(text_col)), host_col, text_col)
-    keep = [F.col(f"`{c}`") for c in (*df.columns, "_removed_words")]
-    counted = row_map(cleaned, keep, F.col("_input"), lambda: text_figures, _FIGURES)
-    return counted.filter(~_failed() & ~_depleted(F.col("_removed_words"))).select(*(F.col(f"`{c}`") for c in df.columns))
+    keep = [F.col("_row"), F.col("_text"), F.col("_removed_words")]
+    counted = row_map(_cleaned(df, host_col, text_col), keep, F.col("_input"), lambda: text_figures, _FIGURES)
+    return counted.filter(~_failed() & ~_depleted(F.col("_removed_words"))).select(*_columns(df, text_col))

@@ -44,20 +44,58 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Places of data whose grams have the least hash in some window of length bytes; none if data is shorter. gram is a power of two."""
-    if len(data) < length:
-        return np.empty(0, np.int64)
-    h, size = _BYTE[np.frombuffer(data, np.uint8)], 1
-    while size < gram:
+#: Stretches with a period up to this are told from others; half a gram.
+MOST_PERIOD = GRAM // 2
+#: Bytes of a text that are looked at together.
+BLOCK = 1 << 20
+_HIGH = np.uint64(1 << 63)
+
+
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Places of data such that every window of length bytes holds one that depends on the window's bytes only; and stretches that repeat within themselves.
+
+    A window's places are its grams of the least hash. Grams with a period up to MOST_PERIOD come after all others, so only windows that are
+    periodic as a whole have none but these, and of them the first place counts. Of a stretch with such a period q and at least length + q
+    bytes every byte lies in a window that comes again q bytes on, so it is reported whole, and only its first q windows, which
+    are all the kinds it has, get places: a text of one character has a few, not one for each byte.
+    """
+    places, repeats = [np.empty(0, np.int64)], []
+    for at in range(0, max(0, len(data) - length + 1), BLOCK):
+        found, runs = _anchors(np.frombuffer(data, np.uint8)[at : at + BLOCK + length - 1], length)
+        places.append(found + at)
+        repeats += [(lo + at, hi + at) for lo, hi in runs]
+    return np.unique(np.concatenate(places)), repeats
+
+
+def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    h, size = _BYTE[data], 1
+    while size < GRAM:
+        if size == MOST_PERIOD:
+            half = h
         h = h[:-size] * np.uint64(pow(_STEP, size, 1 << 64)) + h[size:]
         size *= 2
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    width = length - gram + 1
+    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)
+    n, width = len(h), length - GRAM + 1
+    taken, repeats = np.ones(len(data) - length + 1, bool), []
+    for q in range(1, MOST_PERIOD + 1):
+        # half a gram comes again q bytes on; two such places make a gram of period q
+        again = half[:-q] == half[q:]
+        if not again.any():
+            continue
+        h[again[:n] & again[MOST_PERIOD - q : MOST_PERIOD - q + n]] |= _HIGH
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            end = hi + MOST_PERIOD + q - 1
+            if end - lo >= length + q:
+                repeats.append((lo, end))
+                taken[lo + q : end - length + 1] = False
     least = _sliding(h, width, np.minimum)
+    whole = np.flatnonzero((least >= _HIGH) & taken)
+    least[~taken | (least >= _HIGH)] = 0
     # the greatest of the window minima around a place is its own hash iff it is a minimum of one of them
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return np.flatnonzero(_sliding(around, width, np.maximum) == h)
+    own = np.flatnonzero((_sliding(around, width, np.maximum) == h) & (h < _HIGH) & (h > 0))
+    return np.concatenate([own, [x + int(h[x : x + width].argmin()) for x in whole]]).astype(np.int64), repeats
 
 
 class IndexFamily:
@@ -244,9 +282,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     docs = df.select(F.col(id_col).alias("_id"), data.alias("_data")).withColumn("_key", F.unhex(F.md5("_data")))
     long = docs.filter(F.length("_data") >= length)
-    found = row_map(long, [F.col("_id"), F.col("_key")], F.col("_data"), lambda: lambda x: (len(x), *_grams(x, length)), "n long, pos array<int>, grams array<binary>")
+    found = row_map(long, [F.col("_id"), F.col("_key")], F.col("_data"), lambda: lambda x: (len(x), *_grams(x, length)), "n long, pos array<int>, grams array<binary>, own array<struct<lo:long,hi:long>>")
     found = written(found)
-    copies = written(found.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("rep"), F.first("n").alias("n")))
+    copies = written(found.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own")))
 
     index, agree = IndexFamily(), None
     each = found.dropDuplicates(["_key"]).select(F.col("_key").alias("key"), F.explode(F.arrays_zip("pos", "grams")).alias("x")).select(F.col("x.grams").alias("gram"), "key", F.col("x.pos").alias("pos"))
@@ -270,14 +308,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         matches = _matches(contexts.join(hot, "gram", "left_anti"), length).unionByName(_windows(contexts.join(hot, "gram", "left_semi"), length))
     spans = matches.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("some"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    verdict = copies.join(spans, F.col("_key") == F.col("key"), "left").filter("copies > 1 or key is not null")
-    verdict = written(verdict.select(F.col("_key").alias("key"), F.when(F.col("copies") > 1, whole).otherwise(F.col("some")).alias("spans")))
+    verdict = copies.join(spans, F.col("_key") == F.col("key"), "left").filter("copies > 1 or key is not null or size(own) > 0")
+    every = F.concat(F.coalesce("some", F.array().cast("array<struct<lo:long,hi:long>>")), "own")
+    verdict = written(verdict.select(F.col("_key").alias("key"), F.when(F.col("copies") > 1, whole).otherwise(every).alias("spans")))
     return docs.join(verdict, F.col("_key") == F.col("key"), "left").select(F.col("_id").alias(id_col), "_data", "spans")
 
 
-def _grams(data: bytes, length: int) -> tuple[list[int], list[bytes]]:
-    places = anchors(data, length).tolist()
-    return places, [data[p : p + GRAM] for p in places]
+def _grams(data: bytes, length: int) -> tuple[list[int], list[bytes], list[dict]]:
+    places, repeats = anchors(data, length)
+    return places.tolist(), [data[p : p + GRAM] for p in places.tolist()], [{"lo": lo, "hi": hi} for lo, hi in repeats]
 
 
 def _context(data: bytes, p: int, length: int) -> dict:
