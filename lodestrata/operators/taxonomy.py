@@ -1,31 +1,26 @@
 """Taxonomy retrieval: lexical and vector top-k, their union, and the pick.
 
 Lexical search is an inverted index: query words and path words meet in an equi-join, so pairs that share no word are
-never made. Vector search compares every query with every path in blocks of queries, which go to the partitions of the paths.
+never made. Vector search is in operators/vectors.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import islice
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestrata.functions import text
 from lodestrata.functions.materialize import materialized
+from lodestrata.operators.vectors import VECTOR_K, Embedder, embedded, vector_topk
 
 # Fixed values.
 LEAF_WEIGHT, DEPTH_WEIGHT = 1.5, 0.05
-LEXICAL_K, VECTOR_K = 100, 50
-EPSILON = 1e-9
+#: Lexical lists of the first attempt and the second.
+LEXICAL_SIZES = (100, 300)
+LEXICAL_K = LEXICAL_SIZES[0]
 QUERY_DESCRIPTION = 300
-#: Queries that vector_topk() sends to the paths' partitions at once, and paths that are one matrix.
-QUERY_BLOCK, PATH_BLOCK = 1024, 4096
 
 
 def prepared(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -60,87 +55,86 @@ def with_top_levels(found: DataFrame, queries: DataFrame, paths: DataFrame) -> D
     return found.unionByName(more)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays, in the JVM, with a small number in the denominator."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p.cast("double") * r.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(EPSILON))
+def union_shortlist(lexical: DataFrame, vector: DataFrame | None, queries: DataFrame, paths: DataFrame) -> DataFrame:
+    """q, path, idx (from 0), part: lexical paths below the top level (0), then those only the vectors found (1), then the top levels left (2).
 
-
-def vector_topk(queries: DataFrame, paths: DataFrame, k: int = VECTOR_K) -> DataFrame:
-    """q, path, score, rank: the k paths of each query with the greatest cosine, ties by path.
-
-    queries: q, embedding; paths: path, embedding. Paths stay where they are: each block of queries goes to all their partitions,
-    which return their own k best for each query; these are written down and ranked together.
+    Without vectors (mode `lexical`) the second part is empty. The top levels, few by nature, come to every query.
     """
-    shape = f"q {queries.schema['q'].dataType.simpleString()}, path {paths.schema['path'].dataType.simpleString()}, score double, rank int"
-    spark, known = queries.sparkSession, paths.filter("embedding is not null").select("path", "embedding")
-    rows, parts = queries.filter("embedding is not null").select("q", "embedding").toLocalIterator(), []
-    while block := list(islice(rows, QUERY_BLOCK)):
-        asked = spark.createDataFrame([(i, r.q) for i, r in enumerate(block)], f"_i int, q {queries.schema['q'].dataType.simpleString()}")
-        best = materialized(_best_of_partitions(known, [r.embedding for r in block], k))
-        order = Window.partitionBy("_i").orderBy(F.col("rounded").desc(), "path")
-        ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        parts.append(ranked.join(F.broadcast(asked), "_i").select("q", "path", "score", "rank"))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], shape)
-
-
-def _best_of_partitions(paths: DataFrame, vectors: list, k: int) -> DataFrame:
-    """_i (place in vectors), path, score, rounded: the k best paths of each partition for each vector."""
-    asked = np.stack([np.asarray(x, np.float64) for x in vectors])
-    held = paths.sparkSession.sparkContext.broadcast((asked, np.sqrt((asked**2).sum(axis=1))))
-    kind = paths.schema["path"].dataType.simpleString()
-    path_kind = to_arrow_type(paths.schema["path"].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, norms = held.value
-        best = [[] for _ in asked]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PATH_BLOCK):
-                part = batch.slice(lo, PATH_BLOCK)
-                names = part.column("path").to_pylist()
-                matrix = np.stack([np.asarray(x, np.float64) for x in part.column("embedding").to_pylist()])
-                # a sum for each pair in a fixed order, so that ties and rounding don't depend on the batch
-                scores = np.einsum("qd,pd->qp", asked, matrix) / (norms[:, None] * np.sqrt((matrix**2).sum(axis=1)) + EPSILON)
-                rounded = np.round(scores, 12)
-                for i, row in enumerate(rounded):
-                    # all that tie with the k-th are looked at, so that the least paths of them stay
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else range(len(row))
-                    best[i] = sorted(best[i] + [(-row[j], names[j], scores[i, j]) for j in near], key=lambda x: x[:2])[:k]
-        for i, found in enumerate(best):
-            if found:
-                columns = [pa.array([i] * len(found), pa.int32()), pa.array([x[1] for x in found], path_kind), pa.array([x[2] for x in found]), pa.array([-x[0] for x in found])]
-                yield pa.RecordBatch.from_arrays(columns, names=["_i", "path", "score", "rounded"])
-
-    return paths.mapInArrow(run, f"_i int, path {kind}, score double, rounded double")
-
-
-def union_shortlist(lexical: DataFrame, vector: DataFrame, queries: DataFrame, paths: DataFrame) -> DataFrame:
-    """q, path, idx (from 0): lexical paths below the top level, then those only the vectors found, then the top levels left."""
     tops = paths.select("path", "is_top")
-    first = lexical.join(tops, "path").filter("not is_top").select("q", "path", F.lit(0).alias("part"), F.col("rank").cast("long").alias("rank"))
-    second = vector.select("q", "path", F.lit(1).alias("part"), F.col("rank").cast("long").alias("rank"))
+    found = lexical.join(tops, "path").filter("not is_top").select("q", "path", F.lit(0).alias("part"), F.col("rank").cast("long").alias("rank"))
+    if vector is not None:
+        found = found.unionByName(vector.select("q", "path", F.lit(1).alias("part"), F.col("rank").cast("long").alias("rank")))
     ranked_tops = tops.filter("is_top").select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("rank"))
-    third = queries.select("q").join(ranked_tops, F.lit(True)).select("q", "path", F.lit(2).alias("part"), "rank")
-    merged = first.unionByName(second).unionByName(third).groupBy("q", "path").agg(F.min(F.struct("part", "rank")).alias("at"))
+    found = found.unionByName(queries.select("q").join(ranked_tops, F.lit(True)).select("q", "path", F.lit(2).alias("part"), "rank"))
+    merged = found.groupBy("q", "path").agg(F.min(F.struct("part", "rank")).alias("at"))
     order = Window.partitionBy("q").orderBy("at", "path")
-    return merged.select("q", "path", (F.row_number().over(order) - 1).alias("idx"))
+    return merged.select("q", "path", (F.row_number().over(order) - 1).alias("idx"), "at.part")
+
+
+#: From queries (q, text) and a number to their nearest paths by vectors: q, path, rank.
+Ranker = Callable[[DataFrame, int], DataFrame]
+#: From shortlists (q, text, options array<string>, found: how many of them a search found) to q and idx, the place of the option picked, from 0.
+#: A model's client has this shape.
+Picker = Callable[[DataFrame], DataFrame]
+
+
+def embedding_ranker(paths: DataFrame, embed: Embedder, cache: str | None = None, model: str = "hashed") -> Ranker:
+    """Ranks by the cosine of embeddings; those of the paths are made once and kept in `cache`, if it is given."""
+    texts = paths.select(F.col("path").alias("text"))
+    known = (embedded(texts, embed, cache, model) if cache else embed(texts.distinct())).withColumnRenamed("text", "path")
+
+    def rank(queries: DataFrame, k: int) -> DataFrame:
+        vectors = embed(queries.select("text").distinct())
+        return vector_topk(queries.join(vectors, "text").select("q", "embedding"), known, k).select("q", "path", "rank")
+
+    return rank
+
+
+def best_option(shortlists: DataFrame) -> DataFrame:
+    """Picks the option with the best lexical score, ties by path descending; without any common word the first one found, if there is one."""
+    words = text.singular_words(F.col("text"))
 
+    def scored(option: Column, i: Column, own: Column) -> Column:
+        parts = F.split(option, ">")
+        overlap = F.array_intersect(own, text.singular_words(option))
+        in_leaf = F.size(F.array_intersect(overlap, text.singular_words(F.element_at(parts, -1))))
+        score = F.when(F.size(overlap) > 0, F.size(overlap) + LEAF_WEIGHT * in_leaf + DEPTH_WEIGHT * (F.size(parts) - 1))
+        return F.struct(score.alias("score"), option.alias("path"), i.alias("idx"))
 
-#: From queries (q, text) to their paths by vectors: q, path, rank.
-Ranker = Callable[[DataFrame], DataFrame]
+    best = text.bound(words, lambda own: F.array_max(F.transform("options", lambda o, i: scored(o, i, own))))
+    return shortlists.select("q", "found", best.alias("best")).select("q", F.when(F.col("best.score").isNotNull(), F.col("best.idx")).when(F.col("found") > 0, 0).alias("idx"))
 
 
-def resolved(drafts: DataFrame, paths: DataFrame, vector: Ranker | None = None) -> DataFrame:
-    """q, category: the best path for each draft by a deterministic pick: lexical rank 1, else (where vector is given) the nearest vector.
+def picked(drafts: DataFrame, paths: DataFrame, vector: Ranker | None = None, picker: Picker = best_option, sizes: Sequence[int] = LEXICAL_SIZES, k_vector: int = VECTOR_K, mode: str = "union") -> DataFrame:
+    """q, category, attempt, idx: a path for each draft, picked from a shortlist; a draft that no attempt places has no row.
 
-    drafts: q, text (candidate names, product name, brand, the description's beginning, a breadcrumb hint). Drafts without a
-    match have no row: nothing is silently made up.
+    drafts: q, text (candidate names, product name, brand, the description's beginning, a breadcrumb hint). An attempt takes the drafts that the
+    ones before left, with the next size of lexical list. A pick that is null or out of range fails. mode `union` asks both
+    retrievals (only the lexical one where no vector ranker is given), `lexical` the one.
     """
-    found = lexical_topk(drafts, paths, 1).select("q", F.col("path").alias("category"))
-    if vector:
-        rest = drafts.join(found.select("q"), "q", "left_anti")
-        found = found.unionByName(vector(rest).filter("rank = 1").select("q", F.col("path").alias("category")))
-    return found.join(paths.select(F.col("path").alias("category")), "category", "left_semi")
+    if mode not in ("union", "lexical"):
+        raise ValueError(f"mode must be union or lexical, not {mode}")
+    left, found = materialized(drafts.select("q", "text")), None
+    nearest = materialized(vector(left, k_vector)) if vector and mode == "union" else None
+    for attempt, size in enumerate(sizes, 1):
+        near = None if nearest is None else nearest.join(left.select("q"), "q", "left_semi")
+        listed = union_shortlist(lexical_topk(left, paths, size), near, left, paths)
+        options = F.transform(F.array_sort(F.collect_list(F.struct("idx", "path"))), lambda x: x["path"])
+        shortlists = left.join(listed.groupBy("q").agg(options.alias("options"), F.count_if(F.col("part") < 2).alias("found")), "q")
+        shortlists = materialized(shortlists.select("q", "text", "options", "found"))
+        chosen = shortlists.join(picker(shortlists), "q").filter((F.col("idx") >= 0) & (F.col("idx") < F.size("options")))
+        good = materialized(chosen.select("q", F.get("options", F.col("idx").cast("int")).alias("category"), F.lit(attempt).alias("attempt"), F.col("idx").cast("int").alias("idx")))
+        found = good if found is None else found.unionByName(good)
+        if attempt < len(sizes):
+            left = materialized(left.join(good.select("q"), "q", "left_anti"))
+            if left.isEmpty():
+                break
+    return found.join(paths.select(F.col("path").alias("category")), "category", "left_semi").select("q", "category", "attempt", "idx")
+
+
+def resolved(drafts: DataFrame, paths: DataFrame, vector: Ranker | None = None, **choice) -> DataFrame:
+    """q, category: see picked()."""
+    return picked(drafts, paths, vector, **choice).select("q", "category")
 
 
 def query_text(candidate: Column, name: Column, brand: Column, description: Column, breadcrumb: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import html, jsontree, text, urls
 from lodestrata.functions.materialize import materialized
-from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, usage, variants
+from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, usage, variants, vectors
 from lodestrata.plans import standins
 from lodestrata.sources.pages import table
 from lodestrata.streaming import ingest
@@ -323,33 +323,63 @@ _VECTOR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     vector AS (SELECT q, path, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, path) AS rank FROM c QUALIFY rank <= 50)"""
 
 
-def _vectors(spark, sf_dir, k):
+def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), "embedding")
-    return taxonomy.vector_topk(asked, rows.select(F.col("vec_id").alias("path"), "embedding"), k)
+    return rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), "embedding"), rows.select(F.col("vec_id").alias("path"), "embedding")
+
+
+def _ranked_vectors(found):
+    return found.select("q", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_VECTOR} SELECT q, path, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM vector")
 def vector_topk(spark, sf_dir):
-    return _vectors(spark, sf_dir, 50).select("q", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _ranked_vectors(vectors.vector_topk(*_vectors(spark, sf_dir)))
+
+
+@query(f"WITH {_VECTOR} SELECT q, path, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM vector")
+def vector_lists(spark, sf_dir):
+    """Through inverted lists, of which every query asks all, so that the result is exact; tests measure the recall of fewer."""
+    asked, known = _vectors(spark, sf_dir)
+    lists = vectors.train_lists(known)
+    return _ranked_vectors(vectors.list_topk(asked, vectors.with_lists(known, lists), lists, probes=len(lists.centroids)))
+
 
+_HASHED = """list_transform(range(32), lambda i: CAST(list_sum(list_transform(list_filter(list_transform({}, lambda w: CAST('0x' || md5(w)[1:8] AS BIGINT)), lambda n: n % 32 = i), lambda n: CASE WHEN (n // 32) % 2 = 0 THEN 1 ELSE -1 END)) AS DOUBLE))"""
+_FILLED = "list_transform({}, lambda x: coalesce(x, 0.0))"
+_SEMANTIC = f"""qv AS (SELECT q, {_FILLED.format(_HASHED.format("words"))} AS e FROM w), pv AS (SELECT path, {_FILLED.format(_HASHED.format("words"))} AS e FROM paths),
+    sims AS (SELECT q, path, round(list_dot_product(qv.e, pv.e) / (sqrt(list_dot_product(qv.e, qv.e)) * sqrt(list_dot_product(pv.e, pv.e)) + 1e-9), 12) AS sim FROM qv, pv),
+    semantic AS (SELECT q, path, row_number() OVER (PARTITION BY q ORDER BY sim DESC, path) AS rank FROM sims QUALIFY rank <= 5)"""
+_UNION = """SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY place, path) - 1 AS BIGINT) AS idx FROM (SELECT q, path, min(part * 1000000 + rank) AS place FROM (
+    SELECT q, path, 0 AS part, rank FROM lexical JOIN paths USING (path) WHERE depth > 0 AND rank <= {} UNION ALL SELECT q, path, 1, rank FROM semantic UNION ALL
+    SELECT q, path, 2, row_number() OVER (PARTITION BY q ORDER BY path) FROM asked, paths WHERE depth = 0) u GROUP BY q, path) d"""
 
-@query(f"""WITH {_LEXICAL}, semantic AS (SELECT q, path, row_number() OVER (PARTITION BY q ORDER BY md5(q || path)) AS rank FROM asked, paths QUALIFY rank <= 5),
-    u AS (SELECT q, path, 0 AS part, rank FROM lexical JOIN paths USING (path) WHERE depth > 0 UNION ALL SELECT q, path, 1, rank FROM semantic UNION ALL
-        SELECT q, path, 2, row_number() OVER (PARTITION BY q ORDER BY path) FROM asked, paths WHERE depth = 0),
-    d AS (SELECT q, path, min(part * 1000000 + rank) AS place FROM u GROUP BY q, path)
-    SELECT q, path, CAST(row_number() OVER (PARTITION BY q ORDER BY place, path) - 1 AS BIGINT) AS idx FROM d""")
+
+@query(f"WITH {_LEXICAL}, {_SEMANTIC} {_UNION.format(20)}")
 def union_shortlist(spark, sf_dir):
     paths, asked = taxonomy.prepared(standins.taxonomy(spark, sf_dir)), _asked(spark, sf_dir)
-    lexical = taxonomy.lexical_topk(asked, paths, 20)
-    every = asked.join(paths.select("path"), F.lit(True))
-    drawn = every.withColumn("rank", F.row_number().over(standins.Window.partitionBy("q").orderBy(F.md5(F.concat("q", "path").cast("binary"))))).filter("rank <= 5")
-    return taxonomy.union_shortlist(lexical, drawn.select("q", "path", "rank"), asked, paths).select("q", "path", F.col("idx").cast("long").alias("idx"))
+    nearest = taxonomy.embedding_ranker(paths, vectors.hashing_embedder())(asked, 5)
+    return taxonomy.union_shortlist(taxonomy.lexical_topk(asked, paths, 20), nearest, asked, paths).select("q", "path", F.col("idx").cast("long").alias("idx"))
 
 
 @query(f"""WITH {_LEXICAL} SELECT q, path AS category FROM lexical WHERE rank = 1""")
 def category_resolve(spark, sf_dir):
-    return taxonomy.resolved(_asked(spark, sf_dir), taxonomy.prepared(standins.taxonomy(spark, sf_dir))).select("q", "category")
+    paths = taxonomy.prepared(standins.taxonomy(spark, sf_dir))
+    return taxonomy.resolved(_asked(spark, sf_dir), paths, taxonomy.embedding_ranker(paths, vectors.hashing_embedder()))
+
+
+@query(f"""WITH {_LEXICAL}, {_SEMANTIC}, wanted AS (SELECT p_name || ' ' || p_type AS q, min(p_type || ' > ' || p_brand || ' > ' || p_name) AS path FROM part GROUP BY 1),
+    one AS (SELECT * FROM ({_UNION.format(2)}) JOIN wanted USING (q, path)), two AS (SELECT * FROM ({_UNION.format(6)}) JOIN wanted USING (q, path))
+    SELECT q, path AS category, CAST(1 AS BIGINT) AS attempt, idx FROM one UNION ALL SELECT q, path, 2, idx FROM two WHERE q NOT IN (SELECT q FROM one)""")
+def category_retry(spark, sf_dir):
+    """A picker that takes one path only: drafts whose first shortlist lacks it get a longer one, and some never find it."""
+    paths = taxonomy.prepared(standins.taxonomy(spark, sf_dir))
+    part = table(spark, sf_dir, "part")
+    wanted = part.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("q")).agg(F.min(F.concat_ws(" > ", "p_type", "p_brand", "p_name")).alias("wanted"))
+    picker = lambda shortlists: shortlists.join(wanted, "q").select("q", (F.array_position("options", F.col("wanted")) - 1).alias("idx"))
+    ranker = taxonomy.embedding_ranker(paths, vectors.hashing_embedder())
+    found = taxonomy.picked(_asked(spark, sf_dir), paths, ranker, picker, sizes=(2, 6), k_vector=5)
+    return found.select("q", "category", F.col("attempt").cast("long").alias("attempt"), F.col("idx").cast("long").alias("idx"))
 
 
 # --- catalog ---------------------------------------------------------------------------------------

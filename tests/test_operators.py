@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import schemas
 from lodestrata.functions import html, jsontree, text, urls
-from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, variants
+from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, variants, vectors
 from lodestrata.sources import pages
 from lodestrata.streaming import ingest
 
@@ -224,13 +224,13 @@ def test_retrieval(spark):
     more = taxonomy.with_top_levels(found, asked, paths)
     assert [r.path for r in more.filter("q = 'a'").orderBy("rank").collect()] == ["Toys > Drill Sets", "Tools > Drills", "Food", "Tools"]
     assert [r.q for r in taxonomy.resolved(asked, paths).collect()] == ["a"]
-    food = lambda rest: rest.select("q", F.lit("Food").alias("path"), F.lit(1).alias("rank"))
+    food = lambda rest, k: rest.select("q", F.lit("Food").alias("path"), F.lit(1).alias("rank"))
     assert {r.q: r.category for r in taxonomy.resolved(asked, paths, vector=food).collect()} == {"a": "Toys > Drill Sets", "b": "Food"}
-    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "path int, embedding array<float>")
-    near = taxonomy.vector_topk(vectors.withColumnRenamed("path", "q"), vectors, 2)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "path int, embedding array<float>")
+    near = vectors.vector_topk(rows.withColumnRenamed("path", "q"), rows, 2)
     assert [r.path for r in near.filter("q = 1").orderBy("rank").collect()] == [1, 3]
-    assert taxonomy.vector_topk(vectors.withColumnRenamed("path", "q"), vectors.limit(0), 2).count() == 0
-    assert abs(value(spark, taxonomy.cosine(F.array(lit(1.0), lit(2.0)), F.array(lit(2.0), lit(4.0)))) - 1) < 1e-6
+    assert vectors.vector_topk(rows.withColumnRenamed("path", "q"), rows.limit(0), 2).count() == 0
+    assert abs(value(spark, vectors.cosine(F.array(lit(1.0), lit(2.0)), F.array(lit(2.0), lit(4.0)))) - 1) < 1e-6
 
 
 def variant(color=None, size=None, sku=None, price=None, stock=None, images=()):
