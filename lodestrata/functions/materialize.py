@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as Parquet in the folder that executors share (spark.checkpoint.dir; only a local session that names none gets one), read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share (spark.checkpoint.dir); only a local session that names none gets one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pass-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/pass-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

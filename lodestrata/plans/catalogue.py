@@ -6,16 +6,18 @@ inputs are the stand-ins of plans/standins.py, which SQL restates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import html, jsontree, text, urls
-from lodestrata.functions.materialize import materialized
+from lodestrata.functions.materialize import materialized, shared_folder
 from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, usage, variants, vectors
 from lodestrata.plans import standins
 from lodestrata.sources.pages import table
+from lodestrata.sources.store import CatalogStore
 from lodestrata.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +405,17 @@ def catalog_lookup(spark, sf_dir):
     return catalog.lookup(standins.products(spark, sf_dir), "p77").select("id", "name", "description")
 
 
+@query(f"""SELECT 'p' || p_partkey AS id, {_NAME} || CASE WHEN p_partkey % 10 = 0 THEN ' II' ELSE '' END AS name, p_retailprice AS price FROM part WHERE p_partkey % 17 <> 0""")
+def catalog_store(spark, sf_dir):
+    """Put in, updated, thinned out and read back."""
+    products, key = standins.products(spark, sf_dir), F.substring("id", 2, 20).cast("long")
+    store = CatalogStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.upsert(products)
+    store.upsert(products.filter(key % 10 == 0).withColumn("name", F.concat("name", F.lit(" II"))))
+    store.remove(products.filter(key % 17 == 0).select("id"))
+    return store.read().select("id", "name", F.col("price.price").alias("price"))
+
+
 @query("""SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem)) AS BIGINT) AS n_assignment,
     CAST(count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS BIGINT) AS n_unseen FROM part""")
 def catalog_counts(spark, sf_dir):

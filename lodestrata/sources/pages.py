@@ -62,5 +62,12 @@ def expected_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalog(products: DataFrame, path: str) -> None:
-    """Products as JSON lines, a folder for each slice of ids, so that a lookup reads one of them."""
-    products.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).repartition("slice").write.partitionBy("slice").json(path)
+    """Products with their ids as JSON lines. For updates and lookups see sources/store.py."""
+    products.write.json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """id and the product's columns of what write_catalog() wrote; damaged lines and such without an id or a name are left out."""
+    shape = StructType.fromDDL(f"id string, {schemas.PRODUCT}, _corrupt string")
+    lines = spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return lines.filter("_corrupt is null and id is not null and name is not null").drop("_corrupt")
