@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
 SHOWN_FEATURES = 8
-#: Decimals of currencies that don't have two.
-NO_DECIMALS = ["JPY", "KRW", "VND", "CLP"]
+#: Code, decimals, symbol.
+CURRENCIES = [
+    ("USD", 2, "$"), ("EUR", 2, "€"), ("GBP", 2, "£"), ("JPY", 0, "¥"), ("CAD", 2, "CA$"), ("AUD", 2, "A$"), ("NZD", 2, "NZ$"), ("MXN", 2, "MX$"), ("BRL", 2, "R$"), ("INR", 2, "₹"),
+    ("KRW", 0, "₩"), ("CNY", 2, "CN¥"), ("ILS", 2, "₪"), ("VND", 0, "₫"), ("CLP", 0, "CLP "), ("SEK", 2, "SEK "), ("NOK", 2, "NOK "), ("DKK", 2, "DKK "), ("CHF", 2, "CHF "), ("KWD", 3, "KWD "),
+]
+
+
+def currencies(spark: SparkSession) -> DataFrame:
+    """code, digits, symbol: the dimension that prices are shown by."""
+    return spark.createDataFrame(CURRENCIES, "code string, digits int, symbol string")
 
 
 def summaries(products: DataFrame, graded: DataFrame | None = None) -> DataFrame:
@@ -57,10 +65,24 @@ def percent_off(price: Column, compare_at: Column) -> Column:
     return F.when(on_sale(price, compare_at), F.floor((1 - price / compare_at) * 100 + 0.5))
 
 
-def shown_price(amount: Column, currency: Column) -> Column:
-    """Amount and code; locale glyphs aren't part of this."""
-    digits = F.when(F.upper(currency).isin(NO_DECIMALS), F.format_number(amount, 0)).otherwise(F.format_number(amount, 2))
-    return F.concat_ws(" ", digits, F.upper(currency))
+def _with_digits(amount: Column, digits: Column) -> Column:
+    """An amount rounded (halves up) and grouped by thousands."""
+    forms = [F.when(digits == d, F.format_number(F.round(amount, d), d)) for d in (0, 1, 2, 3)]
+    return F.coalesce(*forms, F.format_number(F.round(amount, 2), 2))
+
+
+def with_price_label(rows: DataFrame, dimension: DataFrame, amount: Column, currency: Column, out_col: str = "price_label") -> DataFrame:
+    """rows with a column of the price as shown: symbol and amount by the currency's decimals; a code that the dimension lacks follows the
+    plain amount, and so does none. A null amount has no label. dimension: code, digits, symbol, of few rows.
+    """
+    known = dimension.select(F.col("code").alias("_code"), F.col("digits").alias("_digits"), F.col("symbol").alias("_symbol"))
+    code = F.upper(F.trim(currency))
+    joined = rows.withColumn("_amount", amount).withColumn("_own", code).join(known, F.col("_own") == F.col("_code"), "left")
+    sign = F.when(F.col("_amount") < 0, "-").otherwise("")
+    shown = F.concat(sign, F.col("_symbol"), _with_digits(F.abs("_amount"), F.col("_digits")))
+    plain = F.concat_ws(" ", F.format_number(F.round("_amount", 2), 2), F.nullif("_own", F.lit("")))
+    label = F.when(F.col("_amount").isNotNull(), F.coalesce(shown, plain))
+    return joined.withColumn(out_col, label).drop("_amount", "_own", "_code", "_digits", "_symbol")
 
 
 def crumbs(category: Column) -> Column:
@@ -82,6 +104,12 @@ def alive(slides: Column, dead: Column) -> Column:
     return F.filter(slides, lambda s, i: ~F.array_contains(dead, i))
 
 
+def current_slide(slides: Column, dead: Column, wanted: Column) -> Column:
+    """The slide at a place; where it is dead or there is none, the first that is alive."""
+    at = F.when(~F.array_contains(dead, wanted) & (wanted >= 0), F.get(slides, wanted))
+    return F.coalesce(at, F.get(alive(slides, dead), F.lit(0)))
+
+
 def card_image(image: Column, hover: Column, brand: Column, name: Column, dead: Column | None = None) -> Column:
     """src and initial: the first of the two images that isn't among the dead ones; where none is left, the first letter of the brand, or of the name, stands for it."""
     given = F.array_compact(F.array(image, hover))

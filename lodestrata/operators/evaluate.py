@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,3 +214,17 @@ def unreachable(truth: Column, context: Column, asset_keys: Column) -> Column:
         F.transform(F.transform(truth["image_urls"], urls.asset_key), lambda k: F.when(~F.array_contains(asset_keys, k), label("image", k))),
     ]
     return F.array_compact(F.concat(single, *(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+
+def least_budgets(facts: DataFrame, channels: DataFrame, scales: Sequence[float]) -> DataFrame:
+    """id, fact, scale: for each fact the least scale of the budgets at which a channel, cut to its budget, shows it; null if none does.
+
+    facts: id, fact (what to look for, whatever its case); channels: id, text, budget. All scales are judged by the one place where the fact
+    stands first in the uncut text, so that a page is harvested and read once, not once for each budget.
+    """
+    ends = F.expr("locate(lower(fact), lower(text))")
+    end = F.when(ends > 0, ends + F.length("fact") - 1)
+    steps = F.array(*(F.lit(float(x)) for x in sorted(scales)))
+    least = F.get(F.filter(steps, lambda x: F.floor(x * F.col("budget")) >= end), F.lit(0))
+    seen = facts.join(channels, "id", "left").groupBy("id", "fact").agg(F.min(least).alias("scale"))
+    return seen.select("id", "fact", "scale")

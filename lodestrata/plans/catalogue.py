@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import html, jsontree, text, urls
 from lodestrata.functions.materialize import materialized, shared_folder
-from lodestrata.operators import catalog, distill, draft, evaluate, media, taxonomy, usage, variants, vectors
+from lodestrata.operators import catalog, distill, draft, evaluate, media, search, taxonomy, usage, variants, vectors
 from lodestrata.plans import standins
 from lodestrata.sources.pages import table
 from lodestrata.sources.store import CatalogStore
@@ -270,7 +270,7 @@ _RANKED = f"""WITH m AS ({_MEDIA}),
     f AS (SELECT *, CASE WHEN origin IN ('blob', 'json_ld') THEN 3 WHEN origin = 'dom' THEN 2 ELSE 1 END AS q1, CASE WHEN contains(url, '?w=') THEN -1 ELSE 0 END AS q2, coalesce(width, 0) AS q3, length(string_split(url, '?')[1]) AS q4 FROM m),
     b AS (SELECT *, row_number() OVER (PARTITION BY page, kind, asset ORDER BY q1 DESC, q2 DESC, q3 DESC, q4 DESC, seq) AS br FROM f),
     g AS (SELECT page, kind, asset, least(count(DISTINCT origin), 3) AS spread, bool_and(origin IN ('blob', 'json_ld')) AS structured, min(seq) AS seq, bool_and(hint = '.relatedProducts.image') AS demoted, bool_or(hint = '.selectedVariant.image') AS boosted,
-        max(CASE WHEN br = 1 THEN q1 END) AS q1, max(CASE WHEN br = 1 THEN q2 END) AS q2, max(CASE WHEN br = 1 THEN q3 END) AS q3, max(CASE WHEN br = 1 THEN q4 END) AS q4, max(CASE WHEN br = 1 THEN url END) AS url FROM b GROUP BY page, kind, asset),
+        max(CASE WHEN br = 1 THEN q1 END) AS q1, max(CASE WHEN br = 1 THEN q2 END) AS q2, max(CASE WHEN br = 1 THEN q3 END) AS q3, max(CASE WHEN br = 1 THEN q4 END) AS q4, max(CASE WHEN br = 1 THEN url END) AS url, max(CASE WHEN br = 1 THEN hint END) AS best_hint, max(CASE WHEN br = 1 THEN origin END) AS best_origin FROM b GROUP BY page, kind, asset),
     c AS (SELECT *, sum(CASE WHEN kind = 'image' AND NOT demoted THEN 1 ELSE 0 END) OVER (PARTITION BY page) AS clean, sum(CASE WHEN kind = 'image' AND boosted THEN 1 ELSE 0 END) OVER (PARTITION BY page) AS nb FROM g),
     r AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY NOT demoted DESC, boosted DESC, spread DESC, q1 DESC, q2 DESC, q3 DESC, q4 DESC, seq) - 1 AS rank FROM c
         WHERE NOT (kind = 'image' AND ((demoted AND clean >= 3) OR (nb >= 3 AND NOT boosted AND structured))))"""
@@ -282,12 +282,12 @@ def media_rank_topk(spark, sf_dir):
     return kept.select("page", "kind", "asset", F.col("rank").cast("long").alias("rank"), "url", "demoted", "boosted", F.col("spread").cast("long").alias("spread"))
 
 
-@query(f"""{_RANKED}, n AS (SELECT page, kind, rank, CASE WHEN kind = 'image' THEN 'IMG_' ELSE 'VID_' END || rank || ' ' || url AS line FROM r WHERE (kind = 'image' AND rank < 40) OR (kind = 'video' AND rank < 5))
+@query(f"""{_RANKED}, n AS (SELECT page, kind, rank, CASE WHEN kind = 'image' THEN 'IMG_' ELSE 'VID_' END || rank || ' ' || url || CASE WHEN best_hint = '.selectedVariant.image' THEN ' [selected product]' WHEN best_hint = '.relatedProducts.image' THEN ' [related items rail]' WHEN best_origin = 'meta' THEN ' [page hero]'
+        WHEN best_origin IN ('blob', 'json_ld') THEN ' [product data]' ELSE '' END AS line FROM r WHERE (kind = 'image' AND rank < 40) OR (kind = 'video' AND rank < 5))
     SELECT page, CAST(count(*) FILTER (kind = 'image') AS BIGINT) AS n_images, CAST(count(*) FILTER (kind = 'video') AS BIGINT) AS n_videos, string_agg(line, chr(10) ORDER BY kind, rank) AS listing FROM n GROUP BY page""")
 def media_listing(spark, sf_dir):
     shown = media.per_page(media.ranked(standins.media_rows(spark, sf_dir)))
-    plain = F.regexp_replace("rendered", r" \[[a-z ]+\](?=\n|$)", "")
-    return shown.select("page", F.size("images").cast("long").alias("n_images"), F.size("videos").cast("long").alias("n_videos"), plain.alias("listing"))
+    return shown.select("page", F.size("images").cast("long").alias("n_images"), F.size("videos").cast("long").alias("n_videos"), F.col("rendered").alias("listing"))
 
 
 @query(f"""WITH m AS ({_MEDIA}), h AS (SELECT page, url, hint, min(seq) AS first_seq FROM m GROUP BY ALL), j AS (SELECT page, url, string_agg(hint, ' ' ORDER BY first_seq) AS path_hint FROM h GROUP BY ALL)
@@ -416,6 +416,28 @@ def catalog_store(spark, sf_dir):
     return store.read().select("id", "name", F.col("price.price").alias("price"))
 
 
+_CODES = "[" + ", ".join(f"'{c}'" for c, _, _ in catalog.CURRENCIES) + ", 'XTS', NULL, ' eur ']"
+_DIMENSION = ", ".join(f"('{c}', {d}, '{s}')" for c, d, s in catalog.CURRENCIES)
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_retailprice * 10 + 0.125 AS amount, ({_CODES})[p_partkey % {len(catalog.CURRENCIES) + 3} + 1] AS code FROM part),
+    j AS (SELECT a.*, digits, symbol FROM a LEFT JOIN (VALUES {_DIMENSION}) d(known, digits, symbol) ON known = upper(trim(code)))
+    SELECT p_partkey, CASE digits WHEN 0 THEN symbol || format('{{:,.0f}}', round(amount, 0)) WHEN 3 THEN symbol || format('{{:,.3f}}', round(amount, 3)) WHEN 2 THEN symbol || format('{{:,.2f}}', round(amount, 2))
+        ELSE concat_ws(' ', format('{{:,.2f}}', round(amount, 2)), upper(trim(code))) END AS price_label FROM j""")
+def price_labels(spark, sf_dir):
+    codes = F.array(*(F.lit(c) for c, _, _ in catalog.CURRENCIES), F.lit("XTS"), F.lit(None), F.lit(" eur "))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 10 + 0.125).alias("amount"), F.get(codes, (F.col("p_partkey") % (len(catalog.CURRENCIES) + 3)).cast("int")).alias("code"))
+    return catalog.with_price_label(rows, catalog.currencies(spark), F.col("amount"), F.col("code")).select("p_partkey", "price_label")
+
+
+@query(f"SELECT 'p' || p_partkey AS id, {_NAME} AS name, p_brand AS brand FROM part WHERE contains(lower({_NAME} || ' ' || p_brand), 'ring')")
+def catalog_trigrams(spark, sf_dir):
+    rows = catalog.summaries(standins.products(spark, sf_dir)).select("id", "name", "brand")
+    value = F.concat_ws(" ", "name", "brand")
+    index = search.write_index(rows, value, f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}")
+    return search.substring_search(rows, value, index, "  RING ")
+
+
 @query("""SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (p_partkey IN (SELECT l_partkey FROM lineitem)) AS BIGINT) AS n_assignment,
     CAST(count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS BIGINT) AS n_unseen FROM part""")
 def catalog_counts(spark, sf_dir):
@@ -539,9 +561,10 @@ _SCORES = """s AS (SELECT 'p' || p_partkey AS id, p_partkey % 10 = 9 AS gone,
         CASE WHEN p_partkey % 8 = 5 THEN 1 / 4 ELSE 1.0 END AS descr, CASE WHEN p_partkey % 7 = 2 THEN 0.5 ELSE 1.0 END AS feat,
         CASE WHEN p_partkey % 4 = 0 THEN 1.0 WHEN p_partkey % 9 = 4 THEN round_even(2 / (1 + p_partkey % 4), 2) ELSE 1.0 END AS imgs, CASE WHEN p_partkey % 11 = 1 THEN 0.0 ELSE 1.0 END AS video,
         CASE WHEN p_partkey % 6 = 5 THEN 0.5 WHEN p_partkey % 6 = 4 THEN 0.0 ELSE 1.0 END AS cat, CASE WHEN p_partkey % 5 = 2 THEN 0.67 ELSE 1.0 END AS colors, 1.0 AS variants FROM part),
-    z AS (SELECT id, CASE WHEN gone THEN 0.0 ELSE name END AS name, CASE WHEN gone THEN 0.0 ELSE price END AS price, CASE WHEN gone THEN 0.0 ELSE feat END AS feat, CASE WHEN gone THEN 0.0 ELSE imgs END AS imgs,
+    z AS (SELECT id, CASE WHEN gone THEN 0.0 ELSE name END AS name, CASE WHEN gone THEN 0.0 ELSE price END AS price, CASE WHEN gone THEN 0.0 ELSE descr END AS "desc", CASE WHEN gone THEN 0.0 ELSE feat END AS feat, CASE WHEN gone THEN 0.0 ELSE imgs END AS imgs,
         CASE WHEN gone THEN 0.0 ELSE video END AS video, CASE WHEN gone THEN 0.0 ELSE cat END AS cat, CASE WHEN gone THEN 0.0 ELSE colors END AS colors, CASE WHEN gone THEN 0.0 ELSE variants END AS variants FROM s)"""
-_SCORED = ("name", "price", "feat", "imgs", "video", "cat", "colors", "variants")
+_SCORED = evaluate.FIELDS
+_MEAN = "(" + " + ".join(f'"{f}"' for f in _SCORED) + f") / {len(_SCORED)}"
 
 
 def _scores(spark, sf_dir):
@@ -549,15 +572,22 @@ def _scores(spark, sf_dir):
     return evaluate.field_scores(truth.withColumn("variants", F.lit("[]")), standins.altered(truth))
 
 
-@query(f"WITH {_SCORES} SELECT id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in _SCORED)} FROM z")
+@query(f"WITH {_SCORES} SELECT id, {', '.join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in _SCORED)} FROM z")
 def field_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select("id", *_SCORED)
 
 
-@query(f"WITH {_SCORES} SELECT {', '.join(f'round(avg({f}), 6) AS {f}' for f in _SCORED)} FROM z")
+@query(f"""WITH {_SCORES}, m AS (SELECT {', '.join(f'avg("{f}") AS "{f}"' for f in _SCORED)} FROM z)
+    SELECT {', '.join(f'round("{f}", 6) AS "{f}"' for f in _SCORED)}, round({_MEAN}, 6) AS overall, {_MEAN} >= 0.999 AS passes FROM m""")
 def scoreboard(spark, sf_dir):
     board = evaluate.scoreboard(_scores(spark, sf_dir))
-    return board.select(*(F.round(f, 6).alias(f) for f in _SCORED))
+    return board.select(*(F.round(f, 6).alias(f) for f in (*_SCORED, "overall")), "passes")
+
+
+@query(f"""WITH {_SCORES} SELECT id, round({_MEAN}, 6) AS mean, array_to_string(list_filter([{", ".join(f"""CASE WHEN "{f}" < 1 THEN '{f}' END""" for f in _SCORED)}], lambda x: x IS NOT NULL), ',') AS misses FROM z""")
+def page_scores(spark, sf_dir):
+    found = evaluate.page_means(_scores(spark, sf_dir))
+    return found.select("id", F.round("mean", 6).alias("mean"), F.array_join("misses", ",").alias("misses"))
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -581,25 +611,37 @@ def score_variants(spark, sf_dir):
     return rows.select("id", evaluate.variant_score(F.to_json("variants"), wrong).alias("score"))
 
 
-@query("""WITH e AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN ['good'] ELSE ['bad', 'poor'] END AS accepted, toxic = 1 AS graded FROM labels), o AS (SELECT doc_id AS id, CASE WHEN n_chars % 2 = 0 THEN 'good' WHEN n_chars % 3 = 0 THEN 'poor' ELSE 'bad' END AS predicted FROM documents WHERE doc_id % 7 <> 0),
-    b AS (SELECT e.id, coalesce(list_contains(accepted, predicted), false) AS correct, graded FROM e LEFT JOIN o USING (id))
-    SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (correct) AS BIGINT) AS n_correct, round(count(*) FILTER (correct) / count(*), 6) AS accuracy, CAST(count(*) FILTER (graded) AS BIGINT) AS n_graded,
-        round(coalesce(count(*) FILTER (graded AND correct) / nullif(count(*) FILTER (graded), 0), 0), 6) AS graded_accuracy FROM b""")
-def category_accuracy(spark, sf_dir):
+_BENCH = """e AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN ['good'] ELSE ['bad', 'poor'] END AS accepted, toxic = 1 AS graded FROM labels), o AS (SELECT doc_id AS id, CASE WHEN n_chars % 2 = 0 THEN 'good' WHEN n_chars % 3 = 0 THEN 'poor' ELSE 'bad' END AS predicted FROM documents WHERE doc_id % 7 <> 0),
+    b AS (SELECT e.id, predicted, accepted, coalesce(list_contains(accepted, predicted), false) AS correct, graded FROM e LEFT JOIN o USING (id))"""
+
+
+def _bench(spark, sf_dir):
+    """Labels as expectations, documents as answers; every seventh answer is missing on purpose."""
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     expected = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, F.array(F.lit("good"))).otherwise(F.array(F.lit("bad"), F.lit("poor"))).alias("accepted"))
     out = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 2 == 0, "good").when(F.col("n_chars") % 3 == 0, "poor").otherwise("bad").alias("category"))
-    found = evaluate.accuracy(evaluate.category_bench(expected, out, labels.filter("toxic = 1").select(F.col("doc_id").alias("id"))))
+    return evaluate.category_bench(expected, out, labels.filter("toxic = 1").select(F.col("doc_id").alias("id")))
+
+
+@query(f"""WITH {_BENCH} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (correct) AS BIGINT) AS n_correct, round(count(*) FILTER (correct) / count(*), 6) AS accuracy, CAST(count(*) FILTER (graded) AS BIGINT) AS n_graded,
+        round(coalesce(count(*) FILTER (graded AND correct) / nullif(count(*) FILTER (graded), 0), 0), 6) AS graded_accuracy FROM b""")
+def category_accuracy(spark, sf_dir):
+    found = evaluate.accuracy(_bench(spark, sf_dir))
     return found.select("n", "n_correct", F.round("accuracy", 6).alias("accuracy"), "n_graded", F.round("graded_accuracy", 6).alias("graded_accuracy"))
 
 
+@query(f"WITH {_BENCH} SELECT id, predicted, array_to_string(accepted, ' | ') AS accepted FROM b WHERE NOT correct")
+def wrong_pages(spark, sf_dir):
+    return evaluate.wrong_pages(_bench(spark, sf_dir))
+
+
 @query("SELECT l.doc_id AS id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
 def missing_truth_anti(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
     return evaluate.unexpected(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), docs)
 
 
-@query("""SELECT 'p' || p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'brand' END, CASE WHEN p_partkey % 5 = 1 AND string_split(p_name, ' ')[1] = lower(p_type) THEN 'feature word ' || lower(p_type) END, CASE WHEN p_partkey % 5 = 1 THEN 'color ' || string_split(p_name, ' ')[1] END, CASE WHEN p_partkey % 4 > 1 THEN 'image p/' || p_partkey || '/view2-jpg' END,
+@query("""SELECT 'p' || p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 5 = 1 THEN 'name' END, CASE WHEN p_partkey % 3 = 0 THEN 'brand' END, CASE WHEN p_partkey % 5 = 1 AND string_split(p_name, ' ')[1] = lower(p_type) THEN 'feature word ' || lower(p_type) END, CASE WHEN p_partkey % 5 = 1 THEN 'color ' || string_split(p_name, ' ')[1] END, CASE WHEN p_partkey % 4 > 1 THEN 'image p/' || p_partkey || '/view2-jpg' END,
     CASE WHEN p_partkey % 4 > 2 THEN 'image p/' || p_partkey || '/view3-jpg' END], lambda x: x IS NOT NULL), '; ') AS missing FROM part""")
 def reachability(spark, sf_dir):
     rows = standins.products(spark, sf_dir).withColumn("variants", F.lit("[]")).withColumn("colors", F.transform("colors", lambda c: F.concat(F.lit("c"), c)))
@@ -611,7 +653,20 @@ def reachability(spark, sf_dir):
     shown = F.when(key % 5 == 1, F.replace(F.replace(shown, F.get("colors", F.lit(0)), F.lit("~")), F.lit("~ "), F.lit(""))).otherwise(shown)
     known = F.array(F.concat(F.lit("p/"), key.cast("string"), F.lit("/view1-jpg")))
     found = evaluate.unreachable(F.struct(*(c for c in rows.columns if c != "id")), shown, known)
-    return rows.select("id", F.array_join(F.filter(found, lambda x: x != "name"), "; ").alias("missing"))
+    return rows.select("id", F.array_join(found, "; ").alias("missing"))
+
+
+@query("""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), f AS (SELECT DISTINCT doc_id, ws[i] AS fact, t FROM w, (VALUES (1), (10), (60), (200), (700)) v(i) WHERE len(ws) >= i),
+    e AS (SELECT doc_id, fact, strpos(t, lower(fact)) + length(fact) - 1 AS e1, strpos(left(t, 400), lower(fact)) AS at2, length(fact) AS n FROM f),
+    m AS (SELECT doc_id, fact, CASE WHEN e1 <= 500 THEN 1 WHEN e1 <= 1000 THEN 2 WHEN e1 <= 2000 THEN 4 WHEN e1 <= 4000 THEN 8 END AS s1, CASE WHEN at2 = 0 THEN NULL WHEN at2 + n - 1 <= 100 THEN 1 WHEN at2 + n - 1 <= 200 THEN 2 WHEN at2 + n - 1 <= 400 THEN 4 END AS s2 FROM e)
+    SELECT doc_id, fact, CAST(least(s1, s2) AS DOUBLE) AS scale FROM m""")
+def reach_budgets(spark, sf_dir):
+    """Words of each document as facts, its text and its beginning as two channels, four scales of their budgets."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    facts = docs.select("id", F.explode(text.bound(words, lambda ws: F.array_compact(F.array(*(F.get(ws, F.lit(i - 1)) for i in (1, 10, 60, 200, 700)))))).alias("fact")).distinct()
+    channels = docs.withColumn("budget", F.lit(500)).unionByName(docs.select("id", F.left("text", F.lit(400)).alias("text"), F.lit(100).alias("budget")))
+    return evaluate.least_budgets(facts, channels, (1, 2, 4, 8)).withColumnRenamed("id", "doc_id")
 
 
 # --- extensions ------------------------------------------------------------------------------------
