@@ -20,7 +20,7 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
 def test_a_search_reads_the_postings_of_rare_grams(spark, tmp_path):
     rows = spark.range(3000).select("id", F.concat(F.lit("common part "), F.col("id").cast("string")).alias("name"))
     index = search.write_index(rows, F.col("name"), str(tmp_path / "index"))
-    assert search.rarest(index, "part 2999") == ["299", "999", "t 2"] or search.rarest(index, "part 2999")[:2] == ["299", "999"]
+    assert search.rarest(index, "part 2999")[:2] == ["999", "299"]
     assert search.rarest(index, "zzz") is None
     found = search.substring_search(rows, F.col("name"), index, "part 2999")
     out = io.StringIO()
