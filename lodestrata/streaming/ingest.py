@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,6 +63,80 @@ def price_change_stream(observed: DataFrame) -> DataFrame:
     return observed.groupBy("url").applyInPandasWithState(step, "url string, ts timestamp, before double, price double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+@dataclass(frozen=True)
+class RetryPolicy:
+    """Attempts that a page has, seconds before the second one (each further wait is twice as long), and how long an attempt may take."""
+
+    most: int = 3
+    wait: int = 60
+    lease: int = 300
+
+
+class _Tries:
+    """The attempts of one page: at any time it has a timer, for the end of a lease or of a wait. Times are in milliseconds."""
+
+    def __init__(self, policy: RetryPolicy, attempt: int = 0, timer: int = 0, leased: bool = False):
+        self.policy, self.attempt, self.timer, self.leased = policy, attempt, timer, leased
+        self.out: list[tuple[int, str, int]] = []
+
+    def start(self, at: int) -> None:
+        self.attempt, self.leased, self.timer = self.attempt + 1, True, at + self.policy.lease * 1000
+        self.out.append((self.attempt, "try", at))
+
+    def end(self, action: str, at: int) -> None:
+        self.out.append((self.attempt, action, at))
+        self.attempt, self.timer, self.leased = 0, 0, False
+
+    def fail(self, at: int) -> None:
+        if self.attempt >= self.policy.most:
+            self.end("dead", at)
+        else:
+            self.leased, self.timer = False, at + self.policy.wait * 1000 * 2 ** (self.attempt - 1)
+
+    def until(self, now: int) -> None:
+        """All timers up to now, in their order: a wait that ends starts an attempt, a lease that ends has failed."""
+        while self.attempt and self.timer <= now:
+            (self.fail if self.leased else self.start)(self.timer)
+
+    def hear(self, kind: str, at: int) -> None:
+        self.until(at)
+        if kind == "new" and not self.attempt:
+            self.start(at)
+        elif kind == "ok" and self.attempt:
+            self.end("done", at)
+        elif kind == "failed" and self.attempt and self.leased:
+            self.fail(at)
+
+
+def retry_stream(events: DataFrame, policy: RetryPolicy = RetryPolicy(), late: str = "0 seconds") -> DataFrame:
+    """url, attempt, action, at: what a stream of requests and outcomes leads to over time.
+
+    events: url, kind (`new`, `ok`, `failed`), ts. A new url is tried at once; an attempt that fails, or says nothing until its lease ends, is tried again
+    after a wait that doubles, and the last failure makes a dead letter. Actions: `try`, `done`, `dead`. The clock is the stream's own
+    (event time and its watermark), so a replay gives the same actions; a url's state ends with `done` or `dead`. News of a url that is being tried and
+    outcomes of urls that aren't are ignored. With split_sink, actions are written once for each batch.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tries = _Tries(policy, *(state.get if state.exists else ()))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["ts", "kind"])
+            for kind, ts in zip(rows["kind"], rows["ts"], strict=True):
+                tries.hear(kind, ts.value // 1_000_000)
+        now = state.getCurrentWatermarkMs()
+        tries.until(now)
+        if tries.attempt:
+            state.update((tries.attempt, tries.timer, tries.leased))
+            state.setTimeoutTimestamp(max(tries.timer, now + 1))
+        elif state.exists:
+            state.remove()
+        found = [(key[0], n, action, pd.Timestamp(at, unit="ms")) for n, action, at in tries.out]
+        yield pd.DataFrame(found, columns=["url", "attempt", "action", "at"]).astype({"attempt": "int32", "at": "datetime64[ns]"})
+
+    shape = "url string, attempt int, action string, at timestamp"
+    return events.withWatermark("ts", late).groupBy("url").applyInPandasWithState(step, shape, "attempt int, timer long, leased boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """user_id, session (start, end), n: events with less than a gap between them."""
     return events.groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(F.count(F.lit(1)).alias("n"))
