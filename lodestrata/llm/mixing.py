@@ -71,7 +71,7 @@ def pivotal_copies(df: DataFrame, group: str, size: str, expected: str, key: str
 
     Rows with size 0 or without an expectation get 0. The columns group (null is a group like others), size
     (long), expected (double) and key (which seeds the draws) stay; a column named copies is replaced. Rows
-    that repeat are rows like others, but share their chunk.
+    with equal keys share their chunk, so keys should differ (mix_sources numbers rows that share an id).
     """
     names = [c for c in df.columns if c != "copies"]
     whole = F.floor(F.col(expected) + _TINY).cast("long")
@@ -117,12 +117,14 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     hashes of ids.
     """
     docs = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    docs = written(docs)
+    # rows that share an id, or have none, are told apart by a number, so that they don't share their draws and their chunk
+    again = F.row_number().over(Window.partitionBy("_id", "source", "size").orderBy("_id"))
+    docs = written(docs.withColumn("_key", F.struct("_id", again.alias("again"))))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, share, weights, most).withColumnRenamed("source", "_source")
     joined = docs.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-    mixed = pivotal_copies(joined.withColumn("_expected", expected), "source", "size", "_expected", "_id", seed)
+    mixed = pivotal_copies(joined.withColumn("_expected", expected), "source", "size", "_expected", "_key", seed)
     return mixed.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "copies")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import ngram_join, quality, suffixes
+from lodestrata.llm import mixing, ngram_join, quality, suffixes
 from tests.llm import brute
 
 HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -78,3 +78,21 @@ def test_frequent_lines_keep_other_columns(spark):
     df = spark.createDataFrame(rows, "text string, source string, _row int, _key2 string")
     got = quality.without_frequent_lines(df).collect()
     assert sorted((r["_row"], r.text, r["_key2"], r["_removed_words"]) for r in got) == [(i, f"own words {i}", "f", 1) for i in range(60)]
+
+
+def test_rows_without_an_id_do_not_share_a_chunk(spark, monkeypatch):
+    rows = spark.range(4000).select(F.when(F.col("id") >= 3000, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), 7).alias("text"))
+    rows = rows.unionByName(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("source"), F.repeat(F.lit("w "), 9).alias("text")))
+    largest = []
+    monkeypatch.setattr(mixing, "written", lambda df, keep=mixing.written: _noted(keep(df), largest))
+    mixed = mixing.mix_sources(rows)
+    taken = {r.source: (r.taken, r.target) for r in mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(taken_ - target) <= 16 for taken_, target in taken.values()) and mixed.count() == 8000
+    assert max(largest) <= 4 * mixing.CHUNK
+
+
+def _noted(df, largest):
+    """df, after the number of units that its largest chunk has was noted."""
+    if "_f" in df.columns:
+        largest.append(df.select((F.size("_f.done") + 1).alias("n")).agg(F.max("n")).first()[0])
+    return df
