@@ -8,6 +8,7 @@ where a stretch of its words has the mandatory wording exactly, whatever fills t
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import DataFrame
@@ -97,9 +98,7 @@ FULL = [
         under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"""),
     ("mit", _MIT_GRANT),
     ("mit", f"{_MIT_GRANT} {_AS_IS}"),
-    ("mit-0", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-        [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish
-        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"""),
+    ("mit-0", f"{_MIT_GRANT.split(' subject to the')[0]} {_AS_IS}"),
     ("bsd-2-clause", _BSD_GRANT),
     ("bsd-2-clause", f"{_BSD_GRANT} {_BSD_AS_IS}"),
     ("bsd-3-clause", f"{_BSD_GRANT} {_BSD_NAMES}"),
@@ -119,7 +118,10 @@ FULL = [
         this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
     ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising
         from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it
-        and redistribute it freely subject to the following restrictions"""),
+        and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not
+        required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may
+        not be removed or altered from any source distribution"""),
     ("bsl-1.0", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
         covered by this license [[the software]] to use reproduce display distribute execute and transmit the software"""),
     ("wtfpl", """everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the
@@ -127,10 +129,21 @@ FULL = [
     ("cc0-1.0", """to the extent possible under law {{12}} has waived all copyright and related or neighboring rights to"""),
 ]
 
-#: All templates: names in notices, tags, and full wordings.
+#: Licenses whose terms stand in license_texts, as their publishers have them: from the first clause or preamble to the last, all mandatory.
+WHOLE = ["apache-2.0", "artistic-1.0-perl", "cc0-1.0", "gfdl-1.3", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0"]
+
+
+def whole_text(label: str) -> str:
+    """The terms of a license as a template without regions."""
+    text = pkgutil.get_data(__package__, f"license_texts/{label}.txt").decode()
+    return re.sub(r"[\[\]{}]", " ", text)
+
+
+#: All templates: names in notices, tags, wordings of short licenses and of notices, and whole licenses.
 TEMPLATES = [(label, NOTICE + name) for label, names in NAMES.items() for name in names]
 TEMPLATES += [(tag, f"spdx license identifier {tag}") for tag in TAGS]
 TEMPLATES += FULL
+TEMPLATES += [(label, whole_text(label)) for label in WHOLE]
 
 
 class TokenAutomaton:

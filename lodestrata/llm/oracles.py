@@ -16,7 +16,7 @@ lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FRO
 norms AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM lines),
 hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
 held AS (SELECT source, norm, count(DISTINCT t) AS n FROM norms WHERE norm <> '' GROUP BY source, norm),
-over AS (SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 20 AND n > 0.05 * texts),
+over AS (SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 20 AND (n > 0.05 * texts OR n > 50)),
 lined AS (SELECT n.doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN over.norm IS NOT NULL THEN len(regexp_extract_all(line, '{_WORD}')) ELSE 0 END) AS removed
     FROM norms n LEFT JOIN over ON over.norm = n.norm AND over.source IS NOT DISTINCT FROM n.source WHERE n.norm <> '' GROUP BY n.doc_id),
 f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

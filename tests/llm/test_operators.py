@@ -129,6 +129,21 @@ def test_license_templates():
     assert scan(words("the rights to use it under some license"))[0] == set()
 
 
+def test_whole_licenses_and_changed_ones():
+    """A file with a license's terms is that license, whatever stands around them; with a word changed in the middle it is not."""
+    assert {label for label, _ in licenses.TEMPLATES[-len(licenses.WHOLE) :]} == set(licenses.WHOLE)
+    automaton = licenses.TokenAutomaton([(label, licenses.whole_text(label)) for label in licenses.WHOLE])
+    words = lambda t: licenses.LICENSE_WORD.findall(t.lower())
+    for label in licenses.WHOLE:
+        given = words(licenses.whole_text(label))
+        assert len(given) > 700
+        assert automaton.scan([*words("Copyright (c) 2020 Acme, all rights"), *given, *words("END OF TERMS")])[0] == {label}
+        found, score = automaton.scan(given[: len(given) // 2] + ["otherwise"] + given[len(given) // 2 + 1 :])
+        assert found == set() and 0.4 < score < 0.6
+    zlib = next(t for label, t in licenses.FULL if label == "zlib")
+    assert "may\n        not be removed" in zlib and next(t for label, t in licenses.FULL if label == "mit-0").endswith("dealings in the software")
+
+
 def test_template_regions():
     scan = licenses.TokenAutomaton([("t", "grant of [[very [[large]] many]] rights to {{2}} persons only")]).scan
     yes = ["grant of rights to persons only", "x grant of very many rights to all good persons only y", "grant of very large many rights to some persons only"]
