@@ -163,18 +163,16 @@ def page_media(spark, sf_dir):
     return seen.select("page", "url", "kind", "origin", "width", "path_hint", place.cast("long").alias("place"))
 
 
-@query()
-def extract_products(spark, sf_dir):
-    contexts = materialized(distill.distill(distill.harvest(standins.product_pages(spark, sf_dir), "page_id", "html")))
-    paths = taxonomy.prepared(standins.taxonomy(spark, sf_dir))
-    made = draft.extract_products(contexts, paths)
-    return made.select("id", "name", "price.price", "price.currency", "description", F.size("image_urls").alias("n_images"), F.col("category.name").alias("category"), "brand")
+_LABELS = f"""trim({_UNESCAPED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")})"""
 
 
-@query()
+@query(f"""WITH {_SHOWN}, h AS (SELECT page_id, {_LABELS} AS h1 FROM pages), v AS (SELECT page_id, h1, title, {_WITHOUT_REPEATS.format("ls")} AS shown FROM t JOIN h USING (page_id)),
+    c AS (SELECT page_id, h1, title, '== IDENTITY ==' || chr(10) || 'h1: ' || h1 || chr(10) || 'title: ' || title || chr(10) || chr(10) || '== VISIBLE TEXT ==' || chr(10) ||
+        CASE WHEN length(shown) <= 10000 THEN shown ELSE left(shown, 10000) || chr(10) || '…[truncated]' END AS context FROM v)
+    SELECT page_id, length(context) AS n_context, md5(context) AS digest, CAST(len({_IDENTITY.format("h1, title")}) AS BIGINT) AS n_identity FROM c""")
 def distill_pages(spark, sf_dir):
     found = distill.distill(distill.harvest(table(spark, sf_dir, "pages"), "page_id", "html"))
-    return found.select(F.col("id").alias("page_id"), F.length("context").alias("n_context"), F.md5(F.col("context").cast("binary")).alias("digest"), F.size("identity").alias("n_identity"))
+    return found.select(F.col("id").alias("page_id"), F.length("context").cast("long").alias("n_context"), F.md5(F.col("context").cast("binary")).alias("digest"), F.size("identity").cast("long").alias("n_identity"))
 
 
 # --- texts -----------------------------------------------------------------------------------------
@@ -384,6 +382,19 @@ def category_retry(spark, sf_dir):
     return found.select("q", "category", F.col("attempt").cast("long").alias("attempt"), F.col("idx").cast("long").alias("idx"))
 
 
+_DRAFTED = f"""{_PATHS}, asked AS (SELECT p_partkey, {_STEM.format(f"concat_ws(' ', {_NAME}, {_DESCRIPTION}, p_brand, 'home')")} AS own FROM part),
+    s AS (SELECT p_partkey, path, len(list_intersect(own, words)) + 1.5 * len(list_intersect(list_intersect(own, words), leaf)) + 0.05 * depth AS score FROM asked, paths WHERE len(list_intersect(own, words)) > 0),
+    best AS (SELECT p_partkey, path FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, path DESC) = 1)"""
+
+
+@query(f"""WITH {_DRAFTED} SELECT 'p' || p_partkey AS id, {_NAME} AS name, round(p_retailprice, 2) AS price, CASE WHEN p_partkey % 7 = 0 THEN 'JPY' ELSE 'USD' END AS currency, {_DESCRIPTION} AS description,
+    CAST(p_partkey % 4 AS BIGINT) AS n_images, path AS category, p_brand AS brand FROM part JOIN best USING (p_partkey)""")
+def extract_products(spark, sf_dir):
+    contexts = materialized(distill.distill(distill.harvest(standins.product_pages(spark, sf_dir), "page_id", "html")))
+    made = draft.extract_products(contexts, taxonomy.prepared(standins.taxonomy(spark, sf_dir)))
+    return made.select("id", "name", F.round("price.price", 2).alias("price"), "price.currency", "description", F.size("image_urls").cast("long").alias("n_images"), F.col("category.name").alias("category"), "brand")
+
+
 # --- catalog ---------------------------------------------------------------------------------------
 
 
