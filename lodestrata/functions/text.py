@@ -116,18 +116,28 @@ def _without_zeros(number: Column) -> Column:
 
 
 def general_format(value: Column) -> Column:
-    """Six significant digits without trailing zeros, as printf's %g; a tie at the last digit goes by the shortest decimal form."""
+    """Six significant digits without trailing zeros, as printf's %g: rounded by the double's exact value, ties to even. (Under 0.0001 a tie goes by the shortest decimal form.)"""
     value = value.cast("double")
-    science = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(science, r"e([+-]\d+)$", 1).try_cast("int")
+    size = F.abs(value)
+    exponent = F.when(size >= 1e6, F.lit(None).cast("int"))
+    for e in range(5, -5, -1):
+        exponent = exponent.when(size >= 10.0**e, e)
+    # format_number rounds a double by its exact value
+    fixed = F.replace(F.call_function("format_number", value, 5 - exponent), F.lit(","), F.lit(""))
+    # over a million ties are whole numbers, which decimals hold exactly
+    whole = F.when(size.between(1e6, 1e15), value).cast("decimal(38,10)")
+    rounded = F.when(size < 1e7, F.bround(whole, -1))
+    for e in range(7, 15):
+        rounded = rounded.when(size < 10.0 ** (e + 1), F.bround(whole, 5 - e))
+    science = F.format_string("%.5e", F.coalesce(rounded.cast("double"), value))
     mantissa = _without_zeros(F.regexp_extract(science, r"^(-?[\d.]+)e", 1))
-    form = F.concat(F.lit("%."), (5 - exponent).cast("string"), F.lit("f"))
-    fixed = F.when(exponent.between(-4, 5), F.call_function("format_string", form, value))
-    return F.when(value == 0, "0").when(fixed.isNotNull(), _without_zeros(fixed)).otherwise(F.concat(mantissa, F.lit("e"), F.regexp_extract(science, r"e([+-]\d+)$", 1)))
+    other = F.concat(mantissa, F.lit("e"), F.regexp_extract(science, r"e([+-]\d+)$", 1))
+    return F.when(value == 0, "0").when(fixed.rlike("^-?1000000$"), F.replace(fixed, F.lit("1000000"), F.lit("1e+06"))).when(fixed.isNotNull(), _without_zeros(fixed)).otherwise(other)
 
 
 def two_decimals(value: Column) -> Column:
-    return F.bround(value.cast("double"), 2).cast("decimal(38,2)").cast("string")
+    """As printf's %.2f: rounded by the double's exact value."""
+    return F.replace(F.format_number(value.cast("double"), 2), F.lit(","), F.lit(""))
 
 
 def price_forms(value: Column, thousands: bool = False) -> Column:
@@ -137,7 +147,7 @@ def price_forms(value: Column, thousands: bool = False) -> Column:
     whole = F.when(value == F.floor(value), F.floor(value).cast("string"))
     forms = [general_format(value), two, F.replace(two, F.lit("."), F.lit(",")), F.bround(value * 100, 0).cast("bigint").cast("string"), whole]
     if thousands:
-        exact = F.format_number(two.cast("decimal(38,2)"), 2)
+        exact = F.format_number(value, 2)
         grouped = F.regexp_replace(exact, r"\.\d+$", "")
         forms += [F.when(value >= 1000, x) for x in (exact, grouped, F.replace(grouped, F.lit(","), F.lit(".")))]
     return F.array_distinct(F.array_compact(F.array(*forms)))

@@ -537,6 +537,17 @@ def resolve_index(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (~F.exists(ids, lambda i: (i < 0) | (i >= 2))).alias("in_range"), F.array_join(draft.at_indices(pool, ids), " ").alias("picked"))
 
 
+@query("""SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 4 = 3 THEN 'price ' || printf('%g', o_totalprice) || ' is not on the page' END, CASE WHEN o_orderkey % 5 = 0 THEN 'image ids must be 0 to 1' END,
+    CASE WHEN o_orderkey % 5 = 1 THEN 'no images were chosen though there are candidates' END) AS problems FROM orders""")
+def draft_problems(spark, sf_dir):
+    """All checks of a draft: a price that the page shows or not, image ids in and out of range, no image chosen."""
+    k, two = F.col("o_orderkey"), text.two_decimals(F.col("o_totalprice"))
+    ids = F.when(k % 5 == 0, F.array(F.lit(0), F.lit(-1), F.lit(2))).when(k % 5 == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(0), F.lit(1)))
+    made = F.struct(F.col("o_totalprice").alias("price"), F.lit(None).cast("double").alias("compare_at_price"), ids.alias("image_ids"))
+    context = F.when(k % 4 == 3, "ask us").otherwise(F.concat(F.lit("now only "), two))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(draft.problems(made, context, F.lit(2)), "; ").alias("problems"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS attempt, doc_id % 10 = 9 AS dead FROM documents")
 def retry_ladder(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -42,7 +42,7 @@ def test_density_and_score(spark):
     assert value(spark, text.commerce_score(F.array().cast("array<string>"))) == 0.0
 
 
-@pytest.mark.parametrize("number", [0.0, 5.0, 129.0, 129.5, 0.5, 1234.0, 1234.56, 1234.999, 123456.0, 1234567.0, 0.00001234])
+@pytest.mark.parametrize("number", [0.0, 5.0, 129.0, 129.5, 0.5, 1234.0, 1234.56, 1234.999, 123456.0, 1234567.0, 0.00001234, 297120.5, 297121.5, 0.0009765625, 1234565.0, 1234575.0, 999999.5, 12345.25, 12345.75, 1e15, 123456789012.0, 13405.65, 99999.95, 99999.85, 1234.565, 1234.575, 0.1234565, 0.00012345])
 def test_price_forms(spark, number):
     assert value(spark, text.general_format(lit(number))) == f"{number:g}"
     assert f"{number:.2f}" in value(spark, text.price_forms(lit(number)))
