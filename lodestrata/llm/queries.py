@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +89,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    model = tokens.load_model(model_path or public_tokenizers.path("byte_bpe_50k.json"))
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("byte_bpe_50k.json")
+    model = tokens.load_model(model_path)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     found = tokens.token_counts(documents(spark, sf_dir), [F.col("doc_id"), size], F.col("text"), model)
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
