@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ MOST_WORDS = 4
 LEAST_COUNT = 30
 SUBSUMED_PERCENT = 80
 TOP = 2000
-#: Words of a shard.
-SHARD_WORDS = 1 << 20
+#: Words of a shard, and characters of its texts.
+SHARD_WORDS, SHARD_CHARS = 1 << 19, 1 << 28
+#: Rows of a batch that a task returns, and bytes of their words.
+BATCH_ROWS, BATCH_BYTES = 50_000, 1 << 26
 #: Bits of the map of frequent words or pairs that every task gets (8 MB), and of one of its blocks.
 FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 16
 
@@ -177,9 +180,10 @@ def _counts(texts: DataFrame, least: int, most: int, words: _Map | None = None,
 
     def grams(lang: str, ids: _Ids, places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         frequent, linked = sent.value
-        own, seq = list(ids), np.concatenate([*places, np.zeros(1, np.int32)])
+        own, seq = [b"", *list(ids)[1:]], np.concatenate([*places, np.zeros(1, np.int32)])
+        text, length = pa.array(own, pa.binary()).cast(pa.string()), np.fromiter(map(len, own), np.int64)
         if least == 1:
-            yield batch_of(lang, [_ALL.encode()], 0, [int((seq > 0).sum())])
+            yield batch_of(lang, pa.array([_ALL]), 0, np.array([(seq > 0).sum()]))
         if frequent is not None or linked is not None:
             hashes = _word_hashes(lang, own)
             if frequent is not None:
@@ -192,28 +196,31 @@ def _counts(texts: DataFrame, least: int, most: int, words: _Map | None = None,
                 link[at] = linked.holds(_pair_hashes(hashes[seq[at]], hashes[seq[at + 1]]))
             seq = _chained(seq, link, least)
         for n, at, count in ngram_counts(seq, least, most):
-            for lo in range(0, len(at), 50_000):
-                cols = [[own[i] for i in seq[at[lo : lo + 50_000] + t]] for t in range(n)]
-                yield batch_of(lang, cols[0] if n == 1 else list(map(b" ".join, zip(*cols, strict=True))), n, count[lo : lo + 50_000])
-
-    def batch_of(lang: str, phrases: list[bytes], n: int, count) -> pa.RecordBatch:
+            size = np.cumsum(sum(length[seq[at + t]] for t in range(n)))
+            full = np.searchsorted(size, np.arange(BATCH_BYTES, int(size[-1]) if len(size) else 0, BATCH_BYTES))
+            edges = np.unique(np.concatenate([np.arange(0, len(at), BATCH_ROWS), full, [len(at)]]))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                words = [text.take(pa.array(seq[at[lo:hi] + t])) for t in range(n)]
+                yield batch_of(lang, pc.binary_join_element_wise(*words, " ") if n > 1 else words[0], n, count[lo:hi])
+
+    def batch_of(lang: str, phrases: pa.Array, n: int, count: np.ndarray) -> pa.RecordBatch:
         size = len(phrases)
-        columns = [pa.array([lang] * size, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(size, n), pa.int32()), pa.array(count, pa.int64())]
+        columns = [pa.repeat(lang, size), phrases, pa.array(np.full(size, n), pa.int32()), pa.array(count, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, tuple[_Ids, list[np.ndarray]]] = {}
-        size = 0
+        size = chars = 0
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, places = shards.get(lang) or shards.setdefault(lang, (_Ids({_BREAK: 0}), []))
                 found = np.fromiter(map(ids.__getitem__, _tokens(text)), np.int32)
                 places += [found, np.zeros(1, np.int32)]
-                size += len(found) + 1
-                if size >= shard_words:
+                size, chars = size + len(found) + 1, chars + len(text)
+                if size >= shard_words or chars >= SHARD_CHARS:
                     for one in list(shards):
                         yield from grams(one, *shards.pop(one))
-                    size = 0
+                    size = chars = 0
         for one in list(shards):
             yield from grams(one, *shards.pop(one))
 
