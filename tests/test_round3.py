@@ -2,8 +2,11 @@
 
 import re
 
-from lodestrata.functions import html
+from pyspark.sql import functions as F
+
+from lodestrata.functions import html, urls
 from lodestrata.operators import taxonomy
+from lodestrata.plans import standins
 
 
 def test_references_need_their_semicolon():
@@ -28,3 +31,11 @@ def test_equal_word_sets_are_searched_once(spark):
     assert {r.q: r.category for r in picked.collect()} == {q: p[0] for q, p in want.items() if p}
     plain = taxonomy.lexical_topk(drafts.filter("q is not null"), paths, 1)
     assert {r.q: r.path for r in plain.collect()} == {q: p[0] for q, p in want.items() if p}
+
+
+def test_pages_are_made_in_all_tasks(spark, tiny):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (standins.product_pages(spark, tiny), standins.rich_pages(spark, tiny)):
+        assert made.rdd.getNumPartitions() == tasks
+    noise = [urls.is_noise(F.lit(u)) for u in ("https://a/b.SVG", "https://a/b.svg?x", "https://a/b.svg\n", "https://a/1x1.gif", "https://a/1X1.gif")]
+    assert list(spark.range(1).select(*(n.alias(f"n{i}") for i, n in enumerate(noise))).first()) == [True, False, False, True, False]
