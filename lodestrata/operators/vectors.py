@@ -24,7 +24,7 @@ from lodestrata.functions.materialize import materialized
 VECTOR_K = 50
 EPSILON = 1e-9
 #: Rows of a block, of either side; scores of so many pairs are in memory at once.
-PATH_BLOCK, QUERY_BLOCK, TILE = 1 << 15, 1 << 12, 1 << 22
+PATH_BLOCK, QUERY_BLOCK, TILE = 1 << 15, 1 << 12, 1 << 20
 #: Bounds of training: vectors that the centroids are learned from, and centroids.
 SAMPLE_VECTORS, MOST_LISTS, ROUNDS = 20_000, 1024, 12
 #: Share of the nearest that the lists asked should hold, measured on so many vectors of the sample with so many nearest each.

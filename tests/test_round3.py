@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestrata.functions import html, urls
-from lodestrata.operators import taxonomy
+from lodestrata.operators import media, taxonomy, vectors
 from lodestrata.plans import standins
 
 
@@ -39,3 +40,17 @@ def test_pages_are_made_in_all_tasks(spark, tiny):
         assert made.rdd.getNumPartitions() == tasks
     noise = [urls.is_noise(F.lit(u)) for u in ("https://a/b.SVG", "https://a/b.svg?x", "https://a/b.svg\n", "https://a/1x1.gif", "https://a/1X1.gif")]
     assert list(spark.range(1).select(*(n.alias(f"n{i}") for i, n in enumerate(noise))).first()) == [True, False, False, True, False]
+
+
+def test_a_tile_of_products_is_small_and_changes_nothing(monkeypatch):
+    draw = np.random.default_rng(1)
+    asked, known = draw.standard_normal((20, 8)), draw.standard_normal((300, 8))
+    assert 8 * vectors.TILE <= 8 << 20
+    whole = vectors._best(asked, known, [f"d{i}" for i in range(300)], 10)
+    monkeypatch.setattr(vectors, "TILE", 700)
+    assert vectors._best(asked, known, [f"d{i}" for i in range(300)], 10) == whole
+
+
+def test_sightings_are_dealt_once(spark, tiny):
+    plan = media.ranked(standins.media_rows(spark, tiny))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
