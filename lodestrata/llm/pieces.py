@@ -11,9 +11,11 @@ text's best path is the best paths of its parts, so parts are solved once and ke
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import ahocorasick
@@ -110,6 +112,7 @@ class Pieces:
     def __init__(self, model: bytes):
         table = read_model(model)
         self.text = [p for p, _, _ in table]
+        self.sizes = [len(p) for p in self.text]
         self.byte_of = {i: int(p[3:5], 16) for i, (p, _, k) in enumerate(table) if k == _BYTE}
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
         if len(self.id_of_byte) != 256:
@@ -142,46 +145,47 @@ class Pieces:
 
     def viterbi(self, part: str) -> tuple[int, ...]:
         """The best path over a stretch of text."""
-        n = len(part)
-        best = [float("-inf")] * (n + 1)
-        best[0] = 0.0
-        back = [-1] * (n + 1)  # the last piece's id; -1 stands for the bytes of a character
-        done, byte_score, covered = 0, self.byte_score, self.covered
+        # by a stretch's last character; the place before the first one stands at the end, where index -1 finds it
+        best = [float("-inf")] * len(part)
+        best.append(0.0)
+        back = [-1] * len(part)  # the last piece's id; -1 stands for the bytes of a character
+        done, byte_score, covered, sizes = 0, self.byte_score, self.covered, self.sizes
 
         def bytes_until(place: int) -> None:
             nonlocal done
-            while done < place:
-                done += 1
-                if part[done - 1] not in covered:
-                    score = best[done - 1] + byte_score
-                    if score > best[done]:
-                        best[done], back[done] = score, -1
+            for at in range(done, place):
+                if part[at] not in covered:
+                    score = best[at - 1] + byte_score
+                    if score > best[at]:
+                        best[at], back[at] = score, -1
+            done = place
 
         # links go from longer pieces to shorter ones: the first of equal scores is the longest
         if covered.issuperset(part):  # pieces reach every place and bytes aren't needed
             for end, (size, score, piece) in self.automaton.iter(part):
-                score += best[end + 1 - size]
-                if score > best[end + 1]:
-                    best[end + 1] = score
-                    back[end + 1] = piece
+                score += best[end - size]
+                if score > best[end]:
+                    best[end] = score
+                    back[end] = piece
         else:
             for end, (size, score, piece) in self.automaton.iter(part):
                 if done < end:
                     bytes_until(end)
-                score += best[end + 1 - size]
-                if score > best[end + 1]:
-                    best[end + 1] = score
-                    back[end + 1] = piece
-            bytes_until(n)
+                score += best[end - size]
+                if score > best[end]:
+                    best[end] = score
+                    back[end] = piece
+            bytes_until(len(part))
         out: list[int] = []
-        while n:
-            piece = back[n]
+        at = len(part) - 1
+        while at >= 0:
+            piece = back[at]
             if piece < 0:
-                out.extend(self.id_of_byte[b] for b in reversed(part[n - 1].encode()))
-                n -= 1
+                out.extend(self.id_of_byte[b] for b in reversed(part[at].encode()))
+                at -= 1
             else:
                 out.append(piece)
-                n -= len(self.text[piece])
+                at -= sizes[piece]
         out.reverse()
         return tuple(out)
 
@@ -231,6 +235,18 @@ def _ready(model: bytes) -> Pieces:
     return _READY[key]
 
 
+@contextmanager
+def _uncollected():
+    """Holds off the search for cycles: none are made here, and it would go through all parts that are kept again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def load_model(path: str = DEFAULT_MODEL) -> bytes:
     """The model file's bytes, read where the driver runs and sent along with the functions (half a megabyte)."""
     with open(path, "rb") as f:
@@ -245,7 +261,8 @@ def encoder(spark: SparkSession, model: bytes):
     def encode_pieces(texts: pa.Array) -> pa.Array:
         pieces, rows = _ready(model), texts.to_pylist()
         # texts that a batch holds again are encoded once
-        done = {t: None if t is None else pieces.encode(t) for t in dict.fromkeys(rows)}
+        with _uncollected():
+            done = {t: None if t is None else pieces.encode(t) for t in dict.fromkeys(rows)}
         return pa.array([done[t] for t in rows], pa.list_(pa.int32()))
 
     return encode_pieces
@@ -259,7 +276,9 @@ def decoder(spark: SparkSession, model: bytes):
     def decode_pieces(ids: pa.Array) -> pa.Array:
         pieces = _ready(model)
         edges, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
-        return pa.array([pieces.decode(flat[lo:hi]) if ok else None for lo, hi, ok in zip(edges, edges[1:], ids.is_valid().to_pylist())], pa.string())
+        with _uncollected():
+            texts = [pieces.decode(flat[lo:hi]) if ok else None for lo, hi, ok in zip(edges, edges[1:], ids.is_valid().to_pylist())]
+        return pa.array(texts, pa.string())
 
     return decode_pieces
 
