@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import row_map, small_batches, written
+from lodestrata.llm.common import dropped, own_shuffles, row_map, small_batches, written
 from lodestrata.llm.components import components
 
 SHINGLE = 3
@@ -101,7 +101,8 @@ def token_counts(df: DataFrame, text_col: str, size: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["slot", "n"])
 
-    rows = df.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    with own_shuffles(df.sparkSession):
+        rows = df.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -134,7 +135,7 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, percent: int, size: int
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: the pairs (a, b) that pass the other orders' filters and whose exact sets are similar."""
+    """a, b, written: the pairs (a, b) that pass the other orders' filters and whose exact sets are similar."""
     for side in ("a", "b"):
         own = reps.select(F.col("_id").alias(side), F.col("p2").alias(f"p2{side}"), F.col("p3").alias(f"p3{side}"))
         pairs = pairs.join(own, side)
@@ -164,7 +165,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
 
         return one
 
-    return row_map(pairs, [F.col("a"), F.col("b")], F.struct("a", "b", "text_a", "text_b"), make, "similar boolean").filter("similar").select("a", "b")
+    links = written(row_map(pairs, [F.col("a"), F.col("b")], F.struct("a", "b", "text_a", "text_b"), make, "similar boolean").filter("similar").select("a", "b"))
+    dropped(few)
+    return links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = SHINGLE) -> DataFrame:
@@ -198,20 +201,24 @@ def _with_different_texts(rows: DataFrame) -> bool:
 def _row_components(df: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
     """jaccard_components() where no id has more than one text."""
     sets = written(_prefixes(df, id_col, text_col, percent, size))
-    by_key = sets.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"))
+    # prefixes are needed of one document of each set only, and none after the last pairs are found
+    keys = written(sets.select("_id", "n", "key"))
+    by_key = keys.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"))
     reps = sets.join(by_key.select(F.col("rep").alias("_id"), F.col("key").alias("key2")), "_id").filter("key = key2").dropDuplicates(["_id", "key"]).select("_id", "n", "p1", "p2", "p3")
     reps = written(reps)
+    dropped(sets)
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     tokens = reps.select("_id", "n", F.posexplode("p1").alias("i", "token")).select("token", F.struct("_id", "n", "i").alias("x"))
     shared = tokens.groupBy("token").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = written(shared)
     members = written(tokens.join(shared, "token"))
+    dropped(shared)
     # sizes must be close, and at the first token that two sets share enough tokens must be left in both
     close = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)")
     met = members.filter("x._id <> first._id").select(F.col("first._id").alias("a"), F.col("x._id").alias("b"), F.col("first.n").alias("na"), F.col("x.n").alias("nb"), F.col("first.i").alias("ia"), F.col("x.i").alias("ib"))
     met = written(met.filter(close).select("a", "b").distinct())
-    links = written(_verified(met, reps, texts, percent, size))
+    links = _verified(met, reps, texts, percent, size)
     groups = written(components(links))
 
     # documents that share a token but no component yet, where the token has more than its first pair
@@ -219,16 +226,18 @@ def _row_components(df: DataFrame, id_col: str, text_col: str, percent: int, siz
     held = members.filter("c > 2").groupBy("x._id").agg(F.collect_list(F.struct("token", "x.n", "x.i")).alias("held"))
     held = held.join(groups.withColumnRenamed("id", "_id"), "_id", "left")
     placed = written(held.select("_id", F.coalesce("component", "_id").alias("component"), F.inline("held")))
+    dropped(members)
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     placed = written(placed.join(mixed, "token", "left_semi"))
     one, two = (placed.select("token", F.col("_id").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
     rest = one.join(two, (one.token == two.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
     rest = rest.join(met, ["a", "b"], "left_anti")
-    more = written(_verified(rest, reps, texts, percent, size))
+    more = _verified(rest, reps, texts, percent, size)
+    dropped(reps)
     groups = written(components(links.unionByName(more)))
 
     known = by_key.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("key2"), F.coalesce("component", "rep").alias("_component"))
-    out = sets.select("_id", "n", "key").join(known, F.col("key") == F.col("key2"), "left")
+    out = keys.join(known, F.col("key") == F.col("key2"), "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
