@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
+
 from lodestrata.functions import jsontree
-from lodestrata.plans import catalogue
+from lodestrata.plans import catalogue, standins
 
 
 def _url(name) -> str:
@@ -52,3 +54,17 @@ def test_html_evidence_counts_all_media(spark, tmp_path):
     pages = _pages()
     spark.createDataFrame([(k, "https://h.com", h) for k, (h, _) in pages.items()], "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.page_id: r.n_media for r in catalogue.html_evidence(spark, str(tmp_path)).collect()} == {k: len(n) for k, (_, n) in pages.items()}
+
+
+@pytest.fixture
+def whole_pages(spark, monkeypatch):
+    pages = _pages()
+    monkeypatch.setattr(standins, "rich_pages", lambda spark, sf_dir: spark.createDataFrame([(k, h) for k, (h, _) in pages.items()], "page_id string, html string"))
+    return pages
+
+
+def test_page_media_has_all_media(spark, whole_pages):
+    rows = catalogue.page_media(spark, "").orderBy("page", "place").collect()
+    for page, (_, names) in whole_pages.items():
+        assert [(r.url, r.place) for r in rows if r.page == page] == [(_url(n), i) for i, n in enumerate(names)]
+    assert {r.path_hint for r in rows if r.page in ("ld_long", "blob_long")} == {".image"}
